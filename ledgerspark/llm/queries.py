@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality_model, toxicity
 from .bpe import encode_documents
 from .common import table
+from .decontaminate import find_leaks
 from .pii import pii_report
 from .quality_rules import QualityCascade, quality_report
+from .sharding import assign_shards
 from .url_filter import filter_urls, host_rule
 
 #: Host, path and action of the rules that op4 judges by.
@@ -21,6 +23,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), [host_rule(*r) for r in URL_RULES])
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,6 +37,10 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,9 +55,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
     "op5_quality_model": op5_quality_model,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
