@@ -10,6 +10,7 @@ from . import quality_model, toxicity
 from .bpe import encode_documents
 from .common import table
 from .decontaminate import find_leaks
+from .near_dedup import near_duplicates
 from .pii import pii_report
 from .quality_rules import QualityCascade, quality_report
 from .sharding import assign_shards
@@ -23,6 +24,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), [host_rule(*r) for r in URL_RULES])
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
     "op3_bpe": op3_bpe,
     "op4_url_filter": op4_url_filter,
