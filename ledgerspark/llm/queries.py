@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .pii import pii_report
 from .quality_rules import QualityCascade, quality_report
 from .sharding import assign_shards
+from .suffix_dedup import remove_repeats
 from .url_filter import filter_urls, host_rule
 
 #: Host, path and action of the rules that op4 judges by.
@@ -59,6 +60,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(docs, QualityCascade().fit(docs))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _URL_RULE_VALUES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
