@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Pieces and token pairs remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
 #: don't change.
-REMEMBERED = 200_000
+REMEMBERED, PAIRS = 400_000, 1_000_000
 #: A piece of more bytes is encoded but not remembered.
 LONG_PIECE = 64
 
@@ -52,13 +52,21 @@ class PrefixTable:
     def append(self, more: bytes) -> PrefixTable:
         self.data += more
         data, last, bpe = bytes(self.data), self.last, self.bpe
+        ranks, upto, known, most = bpe.ranks, bpe.upto, bpe.valid, len(bpe.upto) - 1
         for end in range(len(last), len(data) + 1):
-            for n in bpe.lengths:
-                if n <= end and (t := data[end - n : end]) in bpe.ranks and (n == end or bpe.joins(last[end - n], t)):
-                    last.append(t)
-                    break
+            for n in upto[end if end < most else most]:
+                t = data[end - n : end]
+                if t in ranks:
+                    before = last[end - n]
+                    if n == end:
+                        break
+                    if (ok := known.get((before, t))) is None:
+                        ok = bpe.joins(before, t)
+                    if ok:
+                        break
             else:
                 raise ValueError(f"byte {data[end - 1]} is in no token")
+            last.append(t)
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
@@ -80,18 +88,39 @@ class PrefixBpe:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        lengths = sorted({len(t) for t in ranks}, reverse=True)
+        #: Token lengths of at most i bytes, longest first.
+        self.upto = [[n for n in lengths if n <= i] for i in range(max(lengths, default=0) + 1)]
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.valid: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, tuple[int, str, bytes]] = {}
 
     def joins(self, a: bytes, b: bytes) -> bool:
-        if (found := self.valid.get((a, b))) is None:
-            if len(self.valid) >= REMEMBERED:
-                self.valid.clear()
-            found = self.valid[a, b] = merge_encode(self.ranks, a + b) == [self.ranks[a], self.ranks[b]]
+        """Whether a and b stay two tokens: no step of plain BPE on their joined bytes crosses between them."""
+        if len(self.valid) >= PAIRS:
+            self.valid.clear()
+        found = self.valid[a, b] = self._apart(a, b)
         return found
 
+    def _apart(self, a: bytes, b: bytes) -> bool:
+        get, both, border = self.ranks.get, a + b, len(a)
+        if both in self.ranks:
+            return False
+        cuts = list(range(len(both) + 1))  # parts are both[cuts[i]:cuts[i + 1]]
+        cost = [get(both[i : i + 2]) for i in range(len(both) - 1)]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(cost):
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if best is None or cuts[at + 1] == border:
+                return best is None and border in cuts
+            del cuts[at + 1], cost[at]
+            if at < len(cost):
+                cost[at] = get(both[cuts[at] : cuts[at + 2]])
+            if at:
+                cost[at - 1] = get(both[cuts[at - 1] : cuts[at + 1]])
+
     def piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
         return [self.ranks[data]] if data in self.ranks else PrefixTable(self, data).ids()
