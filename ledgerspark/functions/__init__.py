@@ -1 +1 @@
-
+"""Column expressions: rounding, text fingerprints, prices, scaling."""
