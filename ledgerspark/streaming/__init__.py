@@ -1 +1 @@
-
+"""The tag costs over a stream of usage."""
