@@ -34,4 +34,4 @@ def detail(spark: SparkSession, name: str) -> DataFrame:
     of = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
     partitions = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
     files = spark.createDataFrame([(f,) for f in df.inputFiles()], "path string")
-    return files.agg(F.count(F.lit(1)).alias("num_files")).select(F.lit(of.get("Location", "")).alias("location"), F.lit(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())).alias("size_bytes"), "num_files", F.lit(None).cast("long").alias("num_records"), F.array(*map(F.lit, partitions)).cast("array<string>").alias("partition_columns"))
+    return files.agg(F.count(F.lit(1)).alias("num_files")).select(F.lit(of.get("Location", "")).alias("location"), F.lit(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))).alias("size_bytes"), "num_files", F.lit(None).cast("long").alias("num_records"), F.array(*map(F.lit, partitions)).cast("array<string>").alias("partition_columns"))

@@ -41,4 +41,4 @@ def explain_stats(plans: DataFrame) -> DataFrame:
 def own_stats(df: DataFrame) -> tuple[int, int | None]:
     """sizeInBytes and rowCount of a DataFrame's optimised plan, from Catalyst itself."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()), int(stats.rowCount().get().toString()) if stats.rowCount().isDefined() else None
+    return int(str(stats.sizeInBytes())), int(str(stats.rowCount().get())) if stats.rowCount().isDefined() else None

@@ -15,8 +15,8 @@ _NOTEBOOK = "cells array<struct<cell_type: string, source: string>>, metadata st
 
 def source_files(spark: SparkSession, root: str, recursive: bool = True, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, language, content of the .py, .sql and .dbsql files below root, but for paths like one of exclude (glob)."""
-    read = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{py,sql,dbsql}")
-    files = read.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    read = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{py,sql,dbsql}")
+    files = read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     for glob in exclude:
         files = files.where(~F.col("path").rlike(glob.replace(".", r"\.").replace("*", ".*")))
     return files.select("path", file_format(F.col("path")).alias("language"), "content")
@@ -30,7 +30,7 @@ def _language(text, default):
 
 def notebook_cells(spark: SparkSession, root: str) -> DataFrame:
     """path, cell_index, language, source of the code cells of .ipynb files; cells of text count in the index."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ipynb").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ipynb").text(root, wholetext=True)
     # a cell's source is a list of lines or one string; either becomes the string
     listed = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "cells array<struct<cell_type: string, source: array<string>>>, metadata struct<kernelspec: struct<language: string>>").alias("l"), F.from_json("value", _NOTEBOOK).alias("s"))
     default = F.coalesce("l.metadata.kernelspec.language", "s.metadata.kernelspec.language")
