@@ -28,6 +28,7 @@ K = 128
 SMALL_LIST = 24
 #: Classes in a block of the comparison of long lists.
 BLOCK = 256
+COLUMNS = 1 << 14
 #: Documents of at least LARGE shingles use longer runs and every third of them.
 SMALL, LARGE = 7, 40
 #: The estimate may fall this far below the threshold: over five standard deviations of a K-sketch.
@@ -132,17 +133,23 @@ def likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return sized.where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= threshold - MARGIN).select("a", "b")
 
 
+def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id, s: the sets of the documents in ids, made again from their texts."""
+
+    def whole(texts: pd.Series) -> pd.Series:
+        known = WordHashes()
+        return pd.Series([shingle_set(t, width, known).view(np.int64) for t in texts])
+
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", F.pandas_udf(whole, "array<long>")("text").alias("s"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= percent * union of their whole sets, which are made again
     from the texts of the documents concerned."""
     pairs = durable(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
-    def whole(texts: pd.Series) -> pd.Series:
-        known = WordHashes()
-        return pd.Series([shingle_set(t, width, known).view(np.int64) for t in texts])
-
-    sets = durable(docs.join(ids, "doc_id", "left_semi").select("doc_id", F.pandas_udf(whole, "array<long>")("text").alias("s")))
+    sets = durable(whole_sets(docs, ids, width))
     both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "s": "s_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "s": "s_b"}), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("total"))
     return common.where(100 * F.col("i") >= percent * (F.col("total") - F.col("i"))).select("a", "b")
@@ -152,37 +159,86 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
 
-def blockwise(members: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of classes of the same group (g) that differ in their label.  Every group's classes are
-    dealt over blocks and every two blocks meet in one task: a task holds two blocks, whatever a group's size."""
+def _incidence(values: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """0/1 matrices, a row for each of values and together a column for each value that two of them hold; a matrix has
+    at most COLUMNS columns, whatever the sets' sizes."""
+    every, at = np.unique(np.concatenate(values), return_inverse=True)
+    held = np.bincount(at) > 1
+    column = np.cumsum(held) - 1
+    row, keep = np.repeat(np.arange(len(values)), [len(v) for v in values]), held[at]
+    row, column = row[keep], column[at[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(held.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        m = np.zeros((len(values), COLUMNS), dtype=np.float32)
+        m[row[a:b], column[a:b] - low] = 1
+        yield m
+
+
+def _shared(values: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of values that each of the left rows shares with each of the right ones."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for m in _incidence(values):
+        out += m[left] @ m[right].T
+    return out
+
+
+def blockwise(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the labels of classes of the same group (g): of all links between two labels that a task
+    finds, enough to join them.
+
+    Every group's classes are dealt over blocks and every two blocks meet in one task: a task holds two blocks, whatever
+    a group's size.  Sketches meet first and only mark the classes that are likely linked across labels; the whole sets
+    of those meet then, and only links go on."""
+    threshold = percent / 100
     sized = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    # the sizes of long groups only: far fewer rows than classes
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.join(sized, "g").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("g", "doc_id", "label", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, label, n, own = (pdf[c].to_numpy() for c in ("doc_id", "label", "n", "own"))
-        held = [len(s) for s in pdf["sketch"]]
-        values, at = np.unique(np.concatenate([np.asarray(s) for s in pdf["sketch"]]), return_inverse=True)
-        shared = np.bincount(at) > 1
-        column = np.cumsum(shared) - 1
-        row = np.repeat(np.arange(len(pdf)), held)
-        keep = shared[at]
-        m = np.zeros((len(pdf), int(shared.sum())), dtype=np.float32)
-        m[row[keep], column[at[keep]]] = 1
-        left, right = (own == pdf["i"].iat[0]), (own == pdf["j"].iat[0])
-        li, ri = np.flatnonzero(left), np.flatnonzero(right)
-        # the sketches' common values number at least the union's sketch's common values
-        common = m[li] @ m[ri].T
-        small, large = np.minimum(n[li][:, None], n[ri][None, :]), np.maximum(n[li][:, None], n[ri][None, :])
-        good = (small >= threshold * large) & (common >= (threshold - MARGIN) * np.minimum(large, K)) & (label[li][:, None] != label[ri][None, :])
-        x, y = np.nonzero(good)
-        a, b = ids[li][x], ids[ri][y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
     kind = members.schema["doc_id"].dataType.simpleString()
-    return met.groupBy("g", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    group = members.schema["g"].dataType.simpleString()
+
+    def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return np.flatnonzero(pdf["own"] == pdf["i"].iat[0]), np.flatnonzero(pdf["own"] == pdf["j"].iat[0])
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        label, n = pdf["label"].to_numpy(), pdf["n"].to_numpy()
+        left, right = sides(pdf)
+        # the values that two sketches share are at least those that the union's sketch counts for the estimate
+        common = _shared([np.asarray(s) for s in pdf["sketch"]], left, right)
+        small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+        good = (small >= threshold * large) & (common >= (threshold - MARGIN) * np.minimum(large, K)) & (label[left][:, None] != label[right][None, :])
+        hit = np.zeros(len(pdf), dtype=bool)
+        hit[left[good.any(axis=1)]] = True
+        hit[right[good.any(axis=0)]] = True
+        return pdf.loc[hit, ["g", "i", "j", "own", "doc_id", "label"]]
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, label = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
+        sets = [np.asarray(s) for s in pdf["s"]]
+        size = np.array([len(s) for s in sets])
+        left, right = sides(pdf)
+        common = _shared(sets, left, right)
+        x, y = np.nonzero((100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)) & (label[left][:, None] != label[right][None, :]))
+        of: dict = {}
+
+        def top(v):
+            while (w := of.get(v, v)) != v:
+                of[v] = of.get(w, w)
+                v = w
+            return v
+
+        out = []
+        for a, b in zip(left[x], right[y], strict=True):
+            if (u := top(label[a])) != (v := top(label[b])):
+                of[v] = u
+                out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    marked = durable(met.groupBy("g", "i", "j").applyInPandas(mark, f"g {group}, i int, j int, own int, doc_id {kind}, label {kind}"))
+    sets = whole_sets(docs, marked.select("doc_id").distinct(), width)
+    return marked.join(sets, "doc_id").groupBy("g", "i", "j").applyInPandas(link, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -220,8 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         named = groups.select(F.col("node").alias("doc_id"), F.col("label").alias("g")).join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         split = named.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("g")
         members = named.join(split, "g").join(classes.select("doc_id", "n", "sketch"), "doc_id")
-        rest = likely(durable(blockwise(durable(members), threshold)), classes, threshold)
-        links = durable(links.unionByName(confirmed(rest, docs, width, percent)))
+        links = durable(links.unionByName(blockwise(durable(members), docs, width, percent)))
         labels = least_labels(links)
 
     of_rep = rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("label", "rep").alias("_of"))
