@@ -23,6 +23,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """durable(df) without what a checkpoint still knows of its plan (constraints, partitionings, statistics).  These
+    double in every round of a loop of joins, and with them the time to plan it."""
+    kept = durable(df)
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), df.sparkSession)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 from .ranks import ranked
 
 ROUNDS = 6
@@ -37,7 +37,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     shards = range(len(quota))
     for r in range(rounds):
         best = cells.groupBy("g").agg(F.max_by("shard", F.struct("n", (-F.col("shard")).alias("o"))).alias("to"))
-        wished = durable(cells.join(best, "g"))
+        wished = fresh(cells.join(best, "g"))
         load = dict.fromkeys(shards, 0)
         wish: dict[tuple[int, int], int] = {}
         for row in wished.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect():  # shards squared at most
@@ -57,7 +57,7 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         moved = F.least("n", F.floor(F.col("n") * share + F.when(share < 1, unit_hash(F.col("g"), F.col("shard"), F.lit(r)) * F.least(F.lit(1.0), share * F.col("n"))).otherwise(0.0)))
         after = wished.withColumn("_m", moved).select("g", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("_m")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("_m").alias("n")))).alias("x"))
         cells = after.where("x.n > 0").groupBy("g", F.col("x.shard").alias("shard")).agg(F.sum("x.n").alias("n"))
-    return durable(cells)
+    return fresh(cells)
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
