@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -92,57 +92,77 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+ROW = ["doc_id", "rid"]
+
+
+def _shared_names(batches: Iterator) -> Iterator:
+    """Of rows (g, doc_id, rid) sorted by g, doc_id: those whose g several documents hold.  Only the rows of g's first
+    document wait for another one, and those are the rows of one id."""
+    wait, g, first = [], None, None
+    for pdf in batches:
+        out = []
+        for row in zip(pdf["g"].tolist(), pdf["doc_id"].tolist(), pdf["rid"].tolist(), strict=True):
+            if row[0] != g:
+                wait, g, first = [row], row[0], row[1]
+            elif row[1] == first:
+                wait.append(row) if wait else out.append(row)
+            else:
+                out += [*wait, row]
+                wait, first = [], row[1]
+        yield pd.DataFrame(out, columns=["g", "doc_id", "rid"])
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans: array<struct<s, e>> of starts (first and last) of LENGTH-byte strings that also start in a
-    document with a smaller id; only documents that have any.  Ids must be unique and not null."""
+    """doc_id, rid, spans: array<struct<s, e>> of starts (first and last) of LENGTH-byte strings that also start in a
+    document with a smaller id; only rows that have any.  docs: doc_id, rid, text; no null id."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def names(batches: Iterator) -> Iterator:
         for pdf in batches:
             each = [np.unique(units(_bytes(t))[0]) for t in pdf["text"]]
-            yield pd.DataFrame({"g": np.concatenate([*each, np.zeros(0, dtype=np.uint64)]).view(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(x) for x in each])})
+            size = [len(x) for x in each]
+            yield pd.DataFrame({"g": np.concatenate([*each, np.zeros(0, dtype=np.uint64)]).view(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "rid": np.repeat(pdf["rid"].to_numpy(), size)})
 
-    sampled = docs.mapInPandas(names, f"g long, doc_id {kind}")
-    sampled = sampled.repartition("g")  # one exchange for both uses
-    shared = sampled.groupBy("g").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("g")
-    flagged = durable(sampled.join(shared, "g", "left_semi").groupBy("doc_id").agg(F.collect_list("g").alias("names")))
+    # one exchange: what it brings together is sorted, so that equal names stand side by side
+    sampled = docs.mapInPandas(names, f"g long, doc_id {kind}, rid long").repartition("g").sortWithinPartitions("g", "doc_id")
+    flagged = durable(sampled.mapInPandas(_shared_names, f"g long, doc_id {kind}, rid long").groupBy(*ROW).agg(F.collect_list("g").alias("names")))
     _release(spark)
 
     def named_units(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
-            for d, t, wanted in zip(pdf["doc_id"], pdf["text"], pdf["names"], strict=True):
+            for d, i, t, wanted in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["names"], strict=True):
                 g, u, s, e = units(_bytes(t))
                 hit = np.isin(g.view(np.int64), np.asarray(wanted))
-                out.append(pd.DataFrame({"g": g[hit].view(np.int64), "u": u[hit].view(np.int64), "doc_id": d, "s": s[hit], "e": e[hit]}))
-            yield pd.concat(out) if out else pd.DataFrame({"g": [], "u": [], "doc_id": [], "s": [], "e": []})
+                out.append(pd.DataFrame({"g": g[hit].view(np.int64), "u": u[hit].view(np.int64), "doc_id": d, "rid": i, "s": s[hit], "e": e[hit]}))
+            yield pd.concat(out) if out else pd.DataFrame({"g": [], "u": [], "doc_id": [], "rid": [], "s": [], "e": []})
 
-    every = durable(docs.join(flagged, "doc_id").select("doc_id", "text", "names").mapInPandas(named_units, f"g long, u long, doc_id {kind}, s long, e long"))
+    every = durable(docs.join(flagged, ROW).select(*ROW, "text", "names").mapInPandas(named_units, f"g long, u long, doc_id {kind}, rid long, s long, e long"))
     _release(spark)
     least = durable(every.groupBy("g", "u").agg(F.min("doc_id").alias("first")))
-    whole = every.join(least, ["g", "u"]).where(F.col("first") < F.col("doc_id")).select("doc_id", "s", "e")
+    whole = every.join(least, ["g", "u"]).where(F.col("first") < F.col("doc_id")).select(*ROW, "s", "e")
 
     # tuples with several units: their strings are named one by one, in each unit's first document alone
     several = least.groupBy("g").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x < y").select("g")
     partly = every.join(least.join(several, "g", "left_semi"), ["g", "u"]).where(F.col("first") == F.col("doc_id"))
-    ranges = partly.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    ranges = partly.groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
 
     def strings(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
-            for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["ranges"], strict=True):
+            for d, i, t, spans in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["ranges"], strict=True):
                 h = tuple_hashes(_bytes(t))
                 starts = np.unique(np.concatenate([np.arange(x["s"], x["e"] + 1) for x in spans]))
                 with np.errstate(over="ignore"):
-                    out.append(pd.DataFrame({"g": h[cover(h)[starts]].view(np.int64), "w": string_hashes(h)[starts].view(np.int64), "doc_id": d, "s": starts}))
-            yield pd.concat(out) if out else pd.DataFrame({"g": [], "w": [], "doc_id": [], "s": []})
+                    out.append(pd.DataFrame({"g": h[cover(h)[starts]].view(np.int64), "w": string_hashes(h)[starts].view(np.int64), "doc_id": d, "rid": i, "s": starts}))
+            yield pd.concat(out) if out else pd.DataFrame({"g": [], "w": [], "doc_id": [], "rid": [], "s": []})
 
-    single = durable(docs.join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInPandas(strings, f"g long, w long, doc_id {kind}, s long"))
-    _release(spark)
-    before = single.groupBy("g", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
-    repeats = single.join(before.select("g", "w", "first"), ["g", "w"]).where(F.col("first") < F.col("doc_id")).select("doc_id", "s", F.col("s").alias("e"))
-    return whole.unionByName(repeats).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    single = docs.join(ranges, ROW).select(*ROW, "text", "ranges").mapInPandas(strings, f"g long, w long, doc_id {kind}, rid long, s long")
+    # equal strings stand side by side, the smallest document first; nothing of a group is held
+    first = F.first("doc_id").over(Window.partitionBy("g", "w").orderBy("doc_id"))
+    repeats = single.withColumn("first", first).where(F.col("first") < F.col("doc_id")).select(*ROW, "s", F.col("s").alias("e"))
+    return whole.unionByName(repeats).groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def removed_runs(spans: list, n: int) -> list[tuple[int, int]]:
@@ -159,28 +179,19 @@ def removed_runs(spans: list, n: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary); one row per input row.
 
-    A null text counts as empty.  Equal whole texts are told by their digest first and all but the one with the
-    smallest id are searched no further: all their strings start there (texts under LENGTH bytes hold none).  A row
-    with a null id is judged as a copy but never as a source; rows that share an id are no sources for each other, and
-    only one of them, with the least text, is searched for partial repeats."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    key = F.md5(F.col("text").cast("binary"))
-    digests = durable(rows.where(F.octet_length("text") >= LENGTH).groupBy(key.alias("key")).agg(F.min("doc_id").alias("first")).where(F.col("first").isNotNull()))
-    own = digests.groupBy(F.col("first").alias("doc_id")).agg(F.min("key").alias("key"))
-    sources = rows.join(own, "doc_id").where(key == F.col("key")).select("doc_id", "text").dropDuplicates(["doc_id"])
-    spans = durable(repeated_spans(sources))
+    A null text counts as empty.  A row with a null id is neither searched nor a source and stays as it is; rows that
+    share an id are no sources for each other, and each is judged on its own text."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
+    spans = durable(repeated_spans(rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))))
     _release(docs.sparkSession)
-    copies = rows.withColumn("_key", key).join(digests.withColumnRenamed("key", "_key"), "_key", "left")
-    known = own.join(spans, "doc_id").withColumnRenamed("key", "_key")
-    judged = copies.join(known, ["doc_id", "_key"], "left").select("doc_id", "text", F.coalesce(F.col("first") < F.col("doc_id"), F.col("doc_id").isNull() & F.col("first").isNotNull(), F.lit(False)).alias("whole"), "spans")
+    judged = rows.join(spans, ROW, "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
             out = []
-            for d, t, whole, spans in zip(pdf["doc_id"], pdf["text"], pdf["whole"], pdf["spans"], strict=True):
+            for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
                 data = _bytes(t)
-                runs = [(0, len(data))] if whole else removed_runs(spans, len(data)) if spans is not None else []
+                runs = removed_runs(spans, len(data)) if spans is not None else []
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a])
