@@ -14,14 +14,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and token pairs remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
 #: don't change.
-REMEMBERED, PAIRS = 400_000, 1_000_000
+REMEMBERED, PAIRS = 600_000, 1_000_000
 #: A piece of more bytes is encoded but not remembered.
 LONG_PIECE = 64
 
@@ -147,11 +146,6 @@ class PrefixBpe:
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
 
-@lru_cache(maxsize=2)
-def _bpe(path: str, pattern: str) -> PrefixBpe:
-    return PrefixBpe(read_ranks(path), pattern)
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (decimals joined by one space); a row per row.
 
@@ -161,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = _bpe(path, pattern)
+        bpe = PrefixBpe(read_ranks(path), pattern)  # a task's own: its tables go with it
         for batch in batches:
             n, ids_of, ids_sha, decoded_sha = [], [], [], []
             for t in batch.column(len(keep)):
