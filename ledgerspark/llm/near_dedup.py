@@ -1,10 +1,12 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 A document's set are the 64-bit hashes of its distinct word shingles; its sketch the K least of them.  Equal sets are
-one class from the start.  Inverted lists are kept of runs of consecutive retained values: two sets that overlap by
-the threshold agree on such a run, because the few elements that they don't share cannot cut the sketch's common part
-into shorter pieces.  (For a set that the sketch holds whole this is certain by counting: of n elements in the union at
-most 15 in 100 are not shared.  For larger ones it fails with a probability far below 1e-9.)
+one class from the start.  Inverted lists are kept of every run of consecutive values among a set's least: two sets that
+overlap by the threshold agree on such a run.  This is certain by counting, whatever the size.  Where the smaller set
+has n elements, at most d = n (100 - percent) / percent elements of the union are not shared, and d of them cut the
+common ones into d + 1 pieces.  So the union's first r (d + 1) elements hold a common run of r, and a whole union of c
+common and d other elements one of c / (d + 1), rounded up.  A set lists as many of its least values as that takes, which
+for a large set are more than its sketch.
 
 Lists of up to SMALL_LIST classes give all their pairs.  A longer list first gives the pairs with three pivots: the
 class in most lists, and two arbitrary ones; what these links don't join yet is compared whole, in blocks, within the
@@ -14,6 +16,7 @@ exact overlap of their whole sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +32,9 @@ SMALL_LIST = 24
 #: Classes in a block of the comparison of long lists.
 BLOCK = 256
 COLUMNS = 1 << 14
-#: Documents of at least LARGE shingles use longer runs and every third of them.
-SMALL, LARGE = 7, 40
+#: Run lengths by the smaller set's size: up to WHOLE the longest that its whole union is sure to hold, then 3, then 2
+#: beyond MIDDLE.  Shorter runs need fewer of a large set's values, and r of them stay rare enough in it.
+WHOLE, MIDDLE = 128, 256
 #: The estimate may fall this far below the threshold: over five standard deviations of a K-sketch.
 MARGIN = 0.17
 REMEMBERED = 300_000
@@ -68,56 +72,84 @@ def shingle_set(text: str | None, width: int, known: dict) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _class_of(n: int) -> int:
-    return 3 if n <= SMALL else 4 if n < LARGE else 6
+def unshared(n: int, percent: int) -> int:
+    """The most elements of a union that are not shared, where the smaller set has n and the overlap is percent."""
+    return n * (100 - percent) // percent
 
 
-def run_keys(values: np.ndarray, n: int, threshold: float) -> np.ndarray:
-    """Hashes of the runs of consecutive sketch values; run lengths are those of any size that could link with n."""
+@functools.cache
+def run_length(n: int, percent: int) -> int:
+    """Length of the common run that a linked pair of unequal sets is sure to have if the smaller one has n elements;
+    0 if there is no such pair."""
+    longest = 3 if n <= MIDDLE else 2
+    if n > WHOLE:
+        least = WHOLE * percent // 100
+        return min(longest, *(run_length(x, percent) for x in range(least, WHOLE + 1)))
+    # c common elements, and n - c at least on either side that are not
+    return min((-(-c // (unshared(c, percent) + 1)) for c in range(1, n + 1) if unshared(c, percent) >= max(1, 2 * (n - c))), default=0)
+
+
+@functools.cache
+def runs_of(n: int, percent: int) -> tuple[tuple[int, int], ...]:
+    """(run length, number of least values whose runs are listed) for a set of n, for every size that the smaller set
+    of a pair with it can have."""
+    reach: dict[int, int] = {}
+    low = -(-n * percent // 100)
+    for x in (*range(low, min(n, WHOLE) + 1), *([MIDDLE] if low <= MIDDLE <= n else []), n):
+        if r := run_length(x, percent):
+            reach[r] = max(reach.get(r, 0), min(n, r * (unshared(x, percent) + 1)))
+    return tuple(sorted(reach.items()))
+
+
+def run_keys(values: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Hashes of the runs of consecutive values of a set of n, given its least values."""
     out = []
-    for r in {_class_of(int(np.ceil(n * threshold))), _class_of(n), _class_of(int(n / threshold))}:
-        m = len(values) - r + 1
+    for r, reach in runs_of(n, percent):
+        v = values[:reach]
+        m = len(v) - r + 1
         if m < 1:
             continue
         with np.errstate(over="ignore"):
             h = np.full(m, np.uint64(r) * _C, dtype=np.uint64)
             for i in range(r):
-                h = _mix(h * _A + values[i : i + m] * _B)
-        out.append(h if r < 6 else h[h % np.uint64(3) == 0])
+                h = _mix(h * _A + v[i : i + m] * _B)
+        out.append(h)
     return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, sid (identifies the set; null for an empty one), sketch (the upper halves of the K least hashes)."""
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n, sid (identifies the set; null for an empty one), least (the upper halves of the least hashes: K for
+    the sketch, or as many as the set's runs take)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         known = WordHashes()
         for batch in batches:
-            n, sid, sketch = [], [], []
+            n, sid, least = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), width, known)
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     sid.append(f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(np.bitwise_xor.reduce(_mix(s * _B))):x}" if len(s) else None)
-                sketch.append(((s[:K] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.string()), pa.array(sketch, pa.list_(pa.int32()))], names=["doc_id", "n", "sid", "sketch"])
+                held = max([K, *(reach for _, reach in runs_of(len(s), percent))])
+                least.append(((s[:held] >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.string()), pa.array(least, pa.list_(pa.int32()))], names=["doc_id", "n", "sid", "least"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, sid string, sketch array<int>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, sid string, least array<int>")
 
 
-def postings(classes: DataFrame, threshold: float) -> DataFrame:
-    """key, a: a row for each run of each class's sketch."""
+def postings(classes: DataFrame, percent: int) -> DataFrame:
+    """key, a: a row for each run of each class's least values."""
 
     def run(batches: Iterator) -> Iterator:
         for pdf in batches:
-            keys = [run_keys(np.asarray(s).astype(np.int64).astype(np.uint64), n, threshold) for s, n in zip(pdf["sketch"], pdf["n"], strict=True)]
+            keys = [run_keys(np.asarray(s).astype(np.int64).astype(np.uint64), n, percent) for s, n in zip(pdf["least"], pdf["n"], strict=True)]
             sizes = [len(k) for k in keys]
             yield pd.DataFrame({"key": np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64), "a": np.repeat(pdf["doc_id"].to_numpy(), sizes)})
 
-    return classes.select("doc_id", "n", "sketch").mapInPandas(run, f"key long, a {classes.schema['doc_id'].dataType.simpleString()}")
+    return classes.select("doc_id", "n", "least").mapInPandas(run, f"key long, a {classes.schema['doc_id'].dataType.simpleString()}")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -249,12 +281,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Other columns are not read."""
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    every = durable(sketches(docs, width))
+    every = durable(sketches(docs, width, percent))
     known = every.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull())
     rep = durable(known.groupBy("sid").agg(F.min("doc_id").alias("rep")))
-    classes = durable(known.join(rep, (known["sid"] == rep["sid"]) & (known["doc_id"] == rep["rep"]), "left_semi").dropDuplicates(["sid"]))
+    held = durable(known.join(rep, (known["sid"] == rep["sid"]) & (known["doc_id"] == rep["rep"]), "left_semi").dropDuplicates(["sid"]))
+    classes = held.select("doc_id", "n", F.slice("least", 1, K).alias("sketch"))
 
-    lists = postings(classes, threshold)
+    # dealt by key once, for the counts and the join with them
+    lists = postings(held, percent).repartition("key")
     counted = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     listed = durable(lists.join(counted, "key"))
 

@@ -68,6 +68,26 @@ def test_near_duplicates(spark, width, percent):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), root(i)) for i, s in sets.items()}
 
 
+def linked(spark, pairs, width, percent):
+    """How many of the pairs of texts, which share nothing with each other, come into one component."""
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).where("not kept").collect()
+    assert all(r["component_id"] == r["doc_id"] - 1 and r["doc_id"] % 2 for r in got)
+    return len(got)
+
+
+def extended(name, n, m, width):
+    """A text of m shingles and its beginning of n."""
+    words = [f"{name}x{k}" for k in range(m + width - 1)]
+    return " ".join(words[: n + width - 1]), " ".join(words)
+
+
+@pytest.mark.parametrize("width, percent, n, m", [(5, 80, 40, 50), (3, 85, 46, 54), (5, 80, 240, 300), (3, 85, 595, 700)])
+def test_pairs_at_the_threshold(spark, width, percent, n, m):
+    pairs = [extended(f"p{i}", n, m, width) for i in range(300 if m < 60 else 40)]
+    assert linked(spark, pairs, width, percent) == len(pairs)
+
+
 def test_components_of_a_path(spark):
     n = 60
     order = random.Random(1).sample(range(n), n)
