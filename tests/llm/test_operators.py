@@ -88,6 +88,18 @@ def test_pairs_at_the_threshold(spark, width, percent, n, m):
     assert linked(spark, pairs, width, percent) == len(pairs)
 
 
+def test_small_sets_at_the_threshold(spark):
+    pairs, want = [], 0
+    for common in range(1, 17):
+        for before in range(3):
+            for after in range(3):
+                for k in range(8):
+                    words = [f"c{common}b{before}a{after}k{k}w{i}" for i in range(before + common + after + 4)]
+                    pairs.append((" ".join(words[: len(words) - after]), " ".join(words[before:])))
+                    want += 100 * common >= 80 * (common + before + after)
+    assert linked(spark, pairs, 5, 80) == want
+
+
 def test_components_of_a_path(spark):
     n = 60
     order = random.Random(1).sample(range(n), n)
