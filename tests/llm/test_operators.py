@@ -223,6 +223,22 @@ def test_leaks_with_edits(spark):
     assert all(text[r["doc_id"]][r["start"] : r["end"]] == item[r["item_id"]] for r in found if r["doc_id"] % 10 == 0)
 
 
+def test_passages_of_an_item_at_every_offset():
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=n))
+    item = noise(400)
+    m = decontaminate.Matcher([(1, item), (2, "short item!")])
+    for length, edits in ((80, 0), (80, 2), (110, 4)):
+        texts = []
+        for s in range(len(item) - length + 1):
+            passage = list(item[s : s + length])
+            for p in rng.sample(range(length), edits):
+                passage[p] = "#"
+            texts.append(noise(100) + "".join(passage) + noise(100))
+        assert all([n for n, *_ in found] == [0] for found in m.find(texts))
+    assert m.find(["a short item! here", "a short item here", None]) == [[(1, 2, 13, 1)], [], []]
+
+
 def removed(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
