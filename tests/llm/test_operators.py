@@ -122,6 +122,14 @@ def test_shards_keep_equal_texts_together(spark):
     assert all(len(v) == 1 for t, v in places.items() if t != "hot")
 
 
+def test_a_text_over_the_quota_fills_shards(spark):
+    from ledgerspark.llm.sharding import assign_shards
+
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i}") for i in range(2400)]
+    hot = collections.Counter(r["shard"] for r in assign_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] % 3 == 0)
+    assert len(hot) == 3 and max(hot.values()) <= 300 and sum(n * n for n in hot.values()) > 0.98 * (300**2 + 300**2 + 200**2)
+
+
 def test_bpe(spark, sf_dir, texts):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
