@@ -44,7 +44,7 @@ PATTERN_RULES = (
     UrlRule("*casino", r"(?i)(?:^|[./-])(?:online-)?casino[./-]", ("casino",), "block", 1),
     UrlRule("*adult", r"(?i)(?:^|[./-])adult[./-]", ("adult",), "block", 1),
     UrlRule("*doubleclick", r"(?i)(?:^|\.)doubleclick\.[a-z]+/", ("doubleclick",), "block", 1),
-    UrlRule("*wp-login", r"(?i)/wp-login\.php", ("wp", "login", "php"), "block", 1),
+    UrlRule("*wp-login", r"(?i)/wp-login\.php", ("wp", "login"), "block", 1),
 )
 
 

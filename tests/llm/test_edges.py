@@ -118,6 +118,12 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("false"), rules).count() == 0
 
 
+def test_login_page_with_a_longer_ending(spark):
+    rows = [(1, "http://a.org/wp-login.php5"), (2, "http://a.org/wp/login")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), [url_filter.host_rule("never.net", "/", "allow")]).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_stages(docs, empty, labels, benchmark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
