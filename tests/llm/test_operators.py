@@ -45,8 +45,10 @@ def variants(n=60, seed=5):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
-def test_near_duplicates(spark, width, percent):
+@pytest.mark.parametrize("width, percent, small_list", [(3, 85, 24), (5, 80, 24), (3, 85, 2), (5, 80, 3)])
+def test_near_duplicates(spark, monkeypatch, width, percent, small_list):
+    monkeypatch.setattr(near_dedup, "SMALL_LIST", small_list)
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
     rows = variants()
     sets = {}
     for i, t in rows:
@@ -88,6 +90,25 @@ def test_pairs_at_the_threshold(spark, width, percent, n, m):
     assert linked(spark, pairs, width, percent) == len(pairs)
 
 
+@pytest.mark.parametrize("width, percent", [(5, 80), (3, 85)])
+def test_unions_at_the_threshold(spark, width, percent):
+    pairs = []
+    for union in range(5, 201):
+        common = -(-union * percent // 100)
+        for n in {common, common + (union - common) // 2, common + (union - common) // 3}:
+            words = [f"u{union}n{n}w{k}" for k in range(union + width - 1)]
+            pairs.append((" ".join(words[: n + width - 1]), " ".join(words[n - common :])))
+    different = sum(a != b for a, b in pairs)
+    assert different > 350 and linked(spark, pairs, width, percent) == len(pairs)
+
+
+def test_an_id_on_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(2, a), (5, a), (5, b), (7, b), (9, "other text of its own here")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {2: 2, 5: 2, 7: 2, 9: 9}
+
+
 def test_small_sets_at_the_threshold(spark):
     pairs, want = [], 0
     for common in range(1, 17):
