@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import durable
 from .components import least_labels
 
-K = 128
+#: Least and most values of a sketch; a class has as many as it retains, within these.
+K_LEAST, K = 64, 128
 SMALL_LIST = 24
 #: Classes in a block of the comparison of long lists.
 BLOCK = 256
@@ -45,8 +46,9 @@ COLUMNS = 1 << 14
 WHOLE, LONGEST = 128, 3
 #: Bytes of a value that are kept; tasks that number a group's members by blocks.
 HELD, SALTS = 6, 32
-#: The estimate may fall this far below the threshold: over five standard deviations of a K-sketch.
-MARGIN = 0.17
+#: An estimate from k values may fall this many times (k ** -0.5) below the threshold: five of its standard deviations,
+#: which are at most 0.4 times that at 80 percent or more.
+MARGIN = 2.0
 REMEMBERED = 300_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -89,13 +91,13 @@ def prefix(n: int, percent: int) -> int:
 
 def spare(n: int, percent: int) -> int:
     """Retained values beyond prefix(n); never less for a larger set."""
-    return min(-(-n * percent // 100) - 1, (prefix(n, percent) + 1) // 2 + 1) if n else 0
+    return min(-(-n * percent // 100) - 1, prefix(n, percent) // 4 + 1) if n else 0
 
 
 def spare_column(n: Column, percent: int) -> Column:
     """spare of a column of sizes over 0."""
     least = F.ceil(n * percent / F.lit(100))
-    return F.least(least - 1, F.floor((n - least + 2) / F.lit(2)) + 1)
+    return F.least(least - 1, F.floor((n - least + 1) / F.lit(4)) + 1)
 
 
 def unshared(n: int, percent: int) -> int:
@@ -155,8 +157,8 @@ def _unpack(held: bytes, most: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, sid (identifies the set; null for an empty one), least (the upper halves of the least hashes, packed:
-    K for the sketch, or as many as are retained)."""
+    """doc_id, n, sid (identifies the set; null for an empty one), least (the least hashes, packed: those that are
+    retained, and K_LEAST at least)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,7 +171,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     sid.append(f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(np.bitwise_xor.reduce(_mix(s * _B))):x}" if len(s) else None)
-                least.append(_pack(s[: max(K, prefix(len(s), percent) + spare(len(s), percent))]))
+                least.append(_pack(s[: max(K_LEAST, prefix(len(s), percent) + spare(len(s), percent))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.string()), pa.array(least, pa.binary())], names=["doc_id", "n", "sid", "least"])
 
     rows = docs.select("doc_id", "text")
@@ -203,22 +205,27 @@ def run_postings(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("a", "label", "s").mapInPandas(run, f"key long, a {kind}, label {kind}")
 
 
-def _estimates(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaccard similarity as the share of the union's K least values that both sketches hold."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.unique(_unpack(x, K)), np.unique(_unpack(y, K))
-        union = np.union1d(x, y)[:K]
-        out.append(np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / len(union))
-    return pd.Series(out, dtype=float)
+def _hopeful(percent: int):
+    """Of two packed sketches: whether the threshold is within MARGIN of the estimate, the share of the union's k least
+    values that both hold, k being what either sketch has."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.unique(_unpack(x, K)), np.unique(_unpack(y, K))
+            union = np.union1d(x, y)[: max(K_LEAST, min(len(x), len(y)))]
+            both = np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum()
+            out.append(both / len(union) >= percent / 100 - MARGIN * len(union) ** -0.5)
+        return pd.Series(out, dtype=bool)
+
+    return F.pandas_udf(run, "boolean")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those whose sizes and sketches allow the threshold."""
-    estimate = F.pandas_udf(_estimates, "double")
     one = lambda c: classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.expr(f"substring(least, 1, {K * HELD})").alias(f"least_{c}"))
     sized = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return sized.where(estimate("least_a", "least_b") >= percent / 100 - MARGIN).select("a", "b")
+    return sized.where(_hopeful(percent)("least_a", "least_b")).select("a", "b")
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -297,9 +304,11 @@ def blockwise(members: DataFrame, classes: DataFrame, sets: DataFrame, percent:
         label, n, is_left = pdf["label"].to_numpy(), pdf["n"].to_numpy(), pdf["left"].to_numpy()
         x, y = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         # the values that two sketches share are at least those that the union's sketch counts for the estimate
-        common = _shared([np.unique(_unpack(s, K)) for s in pdf["sketch"]], x, y)
+        sketch = [np.unique(_unpack(s, K)) for s in pdf["sketch"]]
+        common, size = _shared(sketch, x, y), np.array([len(s) for s in sketch])
+        held = np.minimum(size[x][:, None], size[y][None, :])
         small, large = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
-        good = (100 * small >= percent * large) & (common >= (threshold - MARGIN) * np.minimum(large, K)) & (label[x][:, None] != label[y][None, :])
+        good = (100 * small >= percent * large) & (common >= (threshold - MARGIN * held**-0.5) * held) & (label[x][:, None] != label[y][None, :])
         hit = np.zeros(len(pdf), dtype=bool)
         hit[x[good.any(axis=1)]] = True
         hit[y[good.any(axis=0)]] = True
@@ -336,9 +345,9 @@ def named(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
 
 
-def crowded_links(crowded: DataFrame, first: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among crowded classes (a) beyond the links in first."""
-    at = durable(named(least_labels(first), crowded).join(sets, "a"))
+def crowded_links(crowded: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the labels of crowded classes (a, label), enough to join all that belong together."""
+    at = durable(crowded.join(sets, "a"))
     split = [F.min("label").alias("low"), F.max("label").alias("high")]
     runs = durable(_listed(run_postings(at, percent), *split).where("low < high"))
 
@@ -386,15 +395,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     ids = first.select("a").unionByName(first.select(F.col("b").alias("a"))).unionByName(crowded.select("a")).distinct()
     sets = durable(whole_sets(docs, ids, width))
-    links = durable(confirmed(first, sets, percent))
-    if not crowded.isEmpty():
-        links = links.unionByName(crowded_links(crowded.select("a"), links, classes, sets, percent))
 
     # an id on several texts joins their classes
     of_set = classes.select("sid", F.col("a").alias("rep"))
     several = known.groupBy("doc_id").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x < y").select("doc_id")
     joined = known.select("doc_id", "sid").join(several, "doc_id", "left_semi").join(of_set, "sid").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    labels = least_labels(links.unionByName(joined))
+    labels = least_labels(confirmed(first, sets, percent).unionByName(joined))
+
+    if not crowded.isEmpty():
+        far = crowded_links(named(labels, crowded.select("a")), classes, sets, percent)
+        ends = [labels.withColumnsRenamed({"node": c, "label": f"label_{c}"}) for c in ("a", "b")]
+        between = far.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        beyond = least_labels(between).select(F.col("node").alias("label"), F.col("label").alias("least"))
+        # a node that had no link before the last ones is not among labels
+        every_node = labels.unionByName(beyond.select(F.col("label").alias("node"), "label").join(labels.select("node"), "node", "left_anti"))
+        labels = every_node.join(beyond, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
 
     of_rep = named(labels, of_set.withColumnRenamed("rep", "a")).select("sid", F.col("label").alias("_of"))
     out = every.select("doc_id", "n", "sid").join(of_rep, "sid", "left")
