@@ -12,8 +12,8 @@ no pairs.  Two linked classes that share no other list share e + 1 hot ones, so
 values, e being spare of the least size that they can be linked with), and a pair is a candidate if its overlap and the
 lesser count of hot values come to e + 1.
 
-Crowded classes are near copies of many, or made of common passages.  They first meet one pivot each: of the classes
-in their hot lists the one with most hot values.  Then they get a second index, of runs of consecutive values of their
+Crowded classes are near copies of many, or made of common passages.  They first meet one pivot each: of
+the least classes of their hot lists, the one that they share most with.  Then they get a second index, of runs of consecutive values of their
 whole sets, which passages that documents share hardly ever fill: at most d = n (100 - percent) / percent elements of
 the union are not shared, n being the smaller size, and d of them cut the common ones into d + 1 pieces.  So the union's
 first r (d + 1) elements hold a common run of r, and a whole union of c common and d other elements one of c / (d + 1),
@@ -378,7 +378,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     listed = durable(_listed(postings(classes, percent)))
     hot = durable(listed.where(F.col("size") > SMALL_LIST).groupBy("a").agg(F.count(F.lit(1)).alias("hot"), F.min("n").alias("n")))
     smallest = F.ceil(F.col("n") * percent / F.lit(100))
-    crowded = durable(hot.where(F.col("hot") > spare_column(smallest, percent)).select("a", "hot"))
+    crowded = durable(hot.where(F.col("hot") > spare_column(smallest, percent)).select("a"))
 
     short = listed.where(F.col("size") <= SMALL_LIST).select("key", "a", "n")
     met = short.join(short.withColumnsRenamed({"a": "b", "n": "m"}), "key").where((F.col("a") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
@@ -387,10 +387,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     enough = lambda *c: F.col("shared") + F.least(*[F.coalesce(x, F.lit(0)) for x in c], F.lit(1 << 60)) > F.col("spare")
     pairs = overlaps.join(of("a"), "a", "left").where(enough("hot_a")).join(of("b"), "b", "left").where(enough("hot_a", "hot_b")).select("a", "b")
 
-    # a crowded class's pivot: in its hot lists, the class with most hot values
+    # a crowded class's pivot: of the least classes of its hot lists, the one that it shares most of them with
     held = listed.where(F.col("size") > SMALL_LIST).select("key", "a").join(crowded, "a")
-    best = held.groupBy("key").agg(F.max(F.struct("hot", "a")).alias("best"))
-    spokes = held.select("key", "a").join(best, "key").groupBy("a").agg(F.max("best").alias("best")).select("a", F.col("best.a").alias("b"))
+    least = held.groupBy("key").agg(F.min("a").alias("b"))
+    shared = held.select("key", "a").join(least, "key").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    spokes = shared.where("a != b").groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     first = durable(likely(pairs.unionByName(_ordered(spokes, "a", "b")).distinct(), classes, percent))
 
     ids = first.select("a").unionByName(first.select(F.col("b").alias("a"))).unionByName(crowded.select("a")).distinct()
