@@ -1,35 +1,48 @@
-"""Repeated byte strings across documents, by a distributed cover of sampled positions.
-
-Two equal strings of LENGTH bytes must be found wherever they start, without sorting every suffix.  The steps are those
-of a difference-cover suffix sort cut off at depth LENGTH:
-
-1. sample: a cover of positions such that any two equal strings of LENGTH bytes have a sampled position at the same
-   offset.  It is content-defined (the least hash of the GRAM-byte tuples in the string), which needs a sixteenth of the
-   positions; a cover by residues needs two thirds (period 3) or a fifth (period 31) of them.  The sampled tuples are
-   sorted into names, and names that one document alone holds are discarded;
-2. recurse on names: a unit is a sampled tuple with all the bytes of the strings that it stands for; units are named;
-3. remaining suffixes: strings whose sampled tuples agree while their units differ are named one by one;
-4. equal names stand side by side, the smallest document first: the others' strings are repeats.
-
-Texts never meet in one task: what moves is names, in rows that are combined before they move.
+"""Repeated byte strings across documents, by a distributed difference-cover sort of suffixes cut off at depth LENGTH.
+
+Positions whose remainder modulo PERIOD is in COVER are sampled.  COVER holds every difference modulo PERIOD, so two
+equal strings of LENGTH bytes, wherever they start, have sampled positions at an equal offset below PERIOD, and at each
+of these the same tuple of GRAM = LENGTH - PERIOD + 1 bytes.  The steps:
+
+1. sort the sampled tuples into names.  A name that one document alone holds is discarded with its suffixes;
+2. recurse on names: a unit is the triple of names at i - PERIOD, i and i + PERIOD, which together cover every string that
+   the sampled position i stands for (starts from i - PERIOD + 1 to i).  Units are sorted and named in the same way;
+3. merge the remaining suffixes: strings whose names agree while their units differ are sorted one by one;
+4. equal neighbours in the sorted order are compared by their documents: all but the smallest one's are repeats.
+
+Documents are put into chunks in the order of their ids.  A chunk sends its sorted distinct names, once each, to the
+ranges of the sorted order, as differences of neighbours; a range answers each chunk in its own order.  So a name
+that a third of all documents hold is one entry a chunk, and texts are moved once.  Names in step 1 are cut to
+SPARE_BITS beyond the number of samples, which only discards less.  Units and strings are compared by 96 bits of
+independent hashes of all of their bytes; bytes themselves are not moved (n distinct strings collide with
+probability n * n / 2 ** 97).
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
 
-LENGTH, GRAM = 50, 20
-WINDOW = LENGTH - GRAM + 1
+LENGTH = 50
+#: A perfect difference set, every remainder but 0 is the difference of one pair.
+PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+GRAM = LENGTH - PERIOD + 1
+#: Bits of a name in step 1 beyond the logarithm of the number of samples.
+SPARE_BITS = 6
+#: Least bytes of text in a chunk, and entries that a chunk and a range have in common on average in larger inputs.
+CHUNK, MEETING = 4 << 20, 300
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407], dtype=np.uint64)
+MOST = (1 << 15) - 1
+STEPS = ("names", "units", "strings")
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -37,167 +50,321 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def tuple_hashes(data: bytes) -> np.ndarray:
-    """A hash of the GRAM = 8 + 8 + 4 bytes from each position."""
-    n = len(data) - GRAM + 1
-    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+def _hash(parts: list[np.ndarray], seed: np.uint64) -> np.ndarray:
+    """A hash of the sequence of parts, for each element."""
     with np.errstate(over="ignore"):
-        return _mix(_mix(words[:n] * _A + np.uint64(1)) * _B + _mix(words[8 : 8 + n] * _B + np.uint64(2)) * _M + (words[12 : 12 + n] >> np.uint64(32)) * _A)
+        h = np.full(len(parts[0]), seed, dtype=np.uint64)
+        for p in parts:
+            h = _mix((h ^ _mix(p * _B + seed)) * _A + _M)
+        return h
 
 
-def string_hashes(h: np.ndarray) -> np.ndarray:
-    """A hash of the LENGTH bytes from each position, from the tuples that cover them."""
-    n = len(h) - WINDOW + 1
-    with np.errstate(over="ignore"):
-        return _mix(_mix(h[:n] * _A) + h[GRAM : GRAM + n] * _B + h[WINDOW - 1 : WINDOW - 1 + n] * _M)
-
-
-def cover(h: np.ndarray) -> np.ndarray:
-    """For each start of a string, the first position of the least tuple hash within the string."""
-    value, at = h, np.arange(len(h))
-    span = 1
-    while span < WINDOW:
-        step = min(span, WINDOW - span)
-        later = value[step:] < value[:-step]
-        value, at = np.where(later, value[step:], value[:-step]), np.where(later, at[step:], at[:-step])
-        span += step
-    return at
-
-
-def units(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text: tuple names, unit names, and the first and last start of a string that each unit stands for."""
-    if len(data) < LENGTH:
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
-    h = tuple_hashes(data)
-    at = cover(h)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.append(first[1:], len(at)) - 1
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(WINDOW * 2, _M, dtype=np.uint64)]), dtype=np.uint64)
-        s = string_hashes(h)
-        # a unit's name: its strings' hashes, each times a power that depends on the distance from the sampled tuple
-        weight = power[at - np.arange(len(at)) + WINDOW]
-        name = _mix(np.add.reduceat(s * weight, first) + (last - first).astype(np.uint64) * _B + (at[first] - first).astype(np.uint64))
-    return h[at[first]], name, first, last
+def _bytes_at(data: bytes, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """The size bytes from each position, as 64-bit words that cover them."""
+    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    return [words[at + k] for k in (*range(0, size - 8, 8), size - 8)]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers by planes of their bytes."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
 
-def _bytes(text: str | None) -> bytes:
+
+def _spread(held: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _text(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _release(spark) -> None:
-    """Lets go of the shuffle files of what is checkpointed by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+class Entries:
+    """The distinct keys (a, b) of a chunk in sorted order; at: the entry of each given key; first: the rank of the
+    first document that holds an entry; several: whether several documents do.  Ranks are given in ascending order."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray | None, rank: np.ndarray):
+        order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
+        x = a[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = x[1:] != x[:-1]
+        if b is not None:
+            y = b[order]
+            new[1:] |= y[1:] != y[:-1]
+        start = np.flatnonzero(new)
+        self.a, self.b = x[start], None if b is None else y[start]
+        self.at = np.empty(len(x), dtype=np.int64)
+        self.at[order] = np.cumsum(new) - 1
+        r = rank[order]
+        self.first = r[start]
+        self.several = (r[np.append(start[1:], len(r)) - 1] if len(r) else r) > self.first
+
+    def requests(self, bits: int, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(range, keys a, keys b) for ranges of the first of `bits` bits."""
+        low = [(r << bits) // ranges for r in range(ranges)]
+        cut = np.append(np.searchsorted(self.a, np.array(low, dtype=np.uint64)), len(self.a))
+        for r in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            a = self.a[cut[r] : cut[r + 1]]
+            yield r, _squeeze(np.diff(a, prepend=np.uint64(0))), b"" if self.b is None else _squeeze(self.b[cut[r] : cut[r + 1]])
+
+
+def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each request of a range: for each of its keys twice the number of chunks that hold it, up to MOST, plus one
+    if none of these comes before the request's own chunk."""
+    a, b, sizes = [], [], []
+    for ka, kb in zip(pdf["a"], pdf["b"], strict=True):
+        a.append(np.cumsum(_spread(ka, "<u8"), dtype=np.uint64))
+        sizes.append(len(a[-1]))
+        b.append(_spread(kb, "<u4") if kb else np.zeros(sizes[-1], dtype=np.uint32))
+    a, b, place = np.concatenate(a), np.concatenate(b), np.repeat(pdf["place"].to_numpy(), sizes)
+    order = np.lexsort((place, b, a))
+    a, b, place = a[order], b[order], place[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    held = np.minimum(np.diff(np.append(start, len(a))), MOST)
+    said = np.empty(len(a), dtype=np.uint16)
+    said[order] = held[group] * 2 + (place == place[start][group])
+    cut = np.cumsum(sizes)[:-1]
+    return pd.DataFrame({"chunk": pdf["chunk"], "step": pdf["step"], "range": pdf["range"], "said": [_squeeze(x) for x in np.split(said, cut)]})
+
+
+class Chunk:
+    """The texts of a chunk and what is known of their strings after the steps answered so far."""
+
+    def __init__(self, row, bits: int, said: dict[str, list]):
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=int(sum(row["sizes"])) or 1)
+        ends = np.cumsum(row["sizes"])
+        self.texts = [raw[e - n : e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
+        self.rank = np.asarray(row["ranks"])
+        self.bits = bits
+        self.said = {step: np.concatenate([np.zeros(0, dtype=np.uint16), *(_spread(x, "<u2") for _, x in sorted(said.get(step, [])))]) for step in STEPS}
+
+    def sample(self) -> Entries:
+        """Step 1: names of all sampled positions."""
+        names, at, of = [], [], []
+        for k, data in enumerate(self.texts):
+            p = (np.arange(0, len(data) - GRAM + 1, PERIOD)[:, None] + np.array(COVER)).reshape(-1)
+            p = p[p <= len(data) - GRAM]
+            parts = _bytes_at(data, p, GRAM)
+            names.append((_hash(parts, _SEEDS[0]), _hash(parts, _SEEDS[1])))
+            at.append(p)
+            of.append(np.full(len(p), k))
+        self.names = [np.concatenate(x) for x in zip(*names, strict=True)]
+        self.at, self.of = np.concatenate(at), np.concatenate(of)
+        self.begun = np.cumsum([0, *map(len, at)])
+        self.cut = self.names[0] >> np.uint64(64 - self.bits)
+        return Entries(self.cut, None, self.rank[self.of])
+
+    def units(self) -> Entries:
+        """Step 2: units of the sampled positions whose names several documents hold."""
+        e = self.sample()
+        held = self.said["names"] >> 1
+        kept = np.flatnonzero(((held > 1) | e.several)[e.at])
+        of, at = self.of[kept], self.at[kept]
+        size = np.array([len(t) for t in self.texts])[of]
+        # the starts of the strings that a position stands for
+        self.low, self.high = np.maximum(at - PERIOD + 1, 0), np.minimum(at, size - LENGTH)
+        on = self.high >= self.low
+        kept, of, at, size, self.low, self.high = kept[on], of[on], at[on], size[on], self.low[on], self.high[on]
+        self.kept_of, step = of, len(COVER)
+        before, after = kept - step >= self.begun[of], kept + step < self.begun[of + 1]
+        both = []
+        for seed, name in zip(_SEEDS, self.names, strict=True):
+            left, right = name[np.where(before, kept - step, 0)], name[np.where(after, kept + step, 0)]
+            for has, side, cut in ((before, left, 0), (after, right, 1)):
+                # where a text ends within the unit, the bytes up to its end stand for the name
+                for i in np.flatnonzero(~has).tolist():
+                    data, p = self.texts[of[i]], int(at[i])
+                    end = data[p + GRAM : p + LENGTH + 1] if cut else data[max(0, p - PERIOD) : p]
+                    side[i] = int.from_bytes(hashlib.blake2b(end, digest_size=8, salt=int(seed).to_bytes(8, "big")).digest(), "big")
+            both.append(_hash([left, name[kept], right], seed))
+        units = Entries(both[0], (both[1] >> np.uint64(32)).astype(np.uint32), self.rank[of])
+        # a name has several units if fewer chunks hold one of them than hold the name, or a chunk has two of them
+        by_name = np.lexsort((units.at, e.at[kept]))
+        n, u = e.at[kept][by_name], units.at[by_name]
+        torn = np.unique(n[1:][(n[1:] == n[:-1]) & (u[1:] != u[:-1])])
+        self.name_held, self.torn = held[e.at[kept]], np.isin(e.at[kept], torn)
+        return units
+
+    def strings(self) -> Entries:
+        """Step 3: strings of units that come first while their names have other units too.  Notes what step 2 found."""
+        units = self.units()
+        held, leads = (self.said["units"] >> 1)[units.at], (self.said["units"] & 1).astype(bool)[units.at]
+        local = self.rank[self.kept_of] == units.first[units.at]
+        first = leads & local
+        self.found = [(self.kept_of[~first], self.low[~first], self.high[~first] + LENGTH)]
+        # Where every chunk that holds a name holds one unit, only the chunks that hold others too open it.  There, the
+        # strings of a unit that an earlier chunk holds are known repeats, and so are strings equal to them.
+        open_ = np.flatnonzero(local & (self.torn | first & ((held != self.name_held) | (held == MOST))))
+        of, at = self.kept_of[open_], [np.arange(a, b + 1) for a, b in zip(self.low[open_].tolist(), self.high[open_].tolist(), strict=True)]
+        size = [len(x) for x in at]
+        of, at, known = np.repeat(of, size), np.concatenate([*at, np.zeros(0, dtype=np.int64)]), np.repeat(~leads[open_], size)
+        order = np.lexsort((~known, at, of))
+        of, at, known = of[order], at[order], known[order]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
+        self.string_of, self.string_at, self.known = of[new], at[new], known[new]
+        names = [np.zeros(len(self.string_at), dtype=np.uint64) for _ in _SEEDS]
+        cut = np.searchsorted(self.string_of, np.arange(len(self.texts) + 1))
+        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            part = slice(cut[k], cut[k + 1])
+            parts = _bytes_at(self.texts[k], self.string_at[part], LENGTH)
+            for seed, name in zip(_SEEDS, names, strict=True):
+                name[part] = _hash(parts, seed)
+        return Entries(names[0], (names[1] >> np.uint64(32)).astype(np.uint32), self.rank[self.string_of])
+
+    def repeats(self) -> list[list[tuple[int, int]]]:
+        """Step 4: for each text its maximal runs of bytes covered by repeats."""
+        strings = self.strings()
+        if len(self.string_at):
+            leads = (self.said["strings"] & 1).astype(bool)[strings.at]
+            known = np.zeros(len(strings.a), dtype=bool)
+            known[strings.at[self.known]] = True
+            later = ~(leads & (self.rank[self.string_of] == strings.first[strings.at])) | known[strings.at]
+            self.found.append((self.string_of[later], self.string_at[later], self.string_at[later] + LENGTH))
+        of, low, high = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, low, high = of[order], low[order], high[order]
+        cut = np.searchsorted(of, np.arange(len(self.texts) + 1))
+        return [_runs(low[a:b], high[a:b], len(t)) for t, a, b in zip(self.texts, cut[:-1], cut[1:], strict=True)]
+
+
+def _runs(low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes covered by [low, high)."""
+    if not len(low):
+        return []
+    depth = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1]
+    on = np.concatenate([[False], depth > 0, [False]])
+    edge = np.flatnonzero(on[1:] != on[:-1])
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-ROW = ["doc_id", "rid"]
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    """chunk, place, ids, ranks, sizes, data: texts of about size bytes in the order of their ids.  The rows of one id
+    share a chunk's place in that order, however many chunks they fill."""
 
+    def pack(batches: Iterator) -> Iterator:
+        import zstandard
+        from pyspark import TaskContext
 
-def _shared_names(batches: Iterator) -> Iterator:
-    """Of rows (g, doc_id, rid) sorted by g, doc_id: those whose g several documents hold.  Only the rows of g's first
-    document wait for another one, and those are the rows of one id."""
-    wait, g, first = [], None, None
-    for pdf in batches:
-        out = []
-        for row in zip(pdf["g"].tolist(), pdf["doc_id"].tolist(), pdf["rid"].tolist(), strict=True):
-            if row[0] != g:
-                wait, g, first = [row], row[0], row[1]
-            elif row[1] == first:
-                wait.append(row) if wait else out.append(row)
-            else:
-                out += [*wait, row]
-                wait, first = [], row[1]
-        yield pd.DataFrame(out, columns=["g", "doc_id", "rid"])
+        base, made, held, held_size, place = TaskContext.get().partitionId() << 32, 0, [], 0, None
 
+        def flush(rows, place):
+            nonlocal made
+            ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+            ranks = np.cumsum([i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))]).tolist()
+            chunk, made = base + made, made + 1
+            data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            return pd.DataFrame({"chunk": [chunk], "place": [chunk if place is None else place], "ids": [ids], "ranks": [ranks], "sizes": [[len(t) for t in texts]], "data": [data]}), chunk
+
+        for pdf in batches:
+            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                if place is not None and i != last:  # what an id has in a place of its own stays alone
+                    if held:
+                        yield flush(held, place)[0]
+                    held, held_size, place = [], 0, None
+                elif held and held_size >= size:
+                    if held[0][0] == held[-1][0] == i:  # an id that fills a chunk by itself goes on in the same place
+                        out, chunk = flush(held, place)
+                        place = chunk if place is None else place
+                        held, held_size = [], 0
+                        yield out
+                    elif held[-1][0] != i:
+                        yield flush(held, place)[0]
+                        held, held_size = [], 0
+                    else:  # the last id has chunks of its own from here
+                        at = next(k for k, r in enumerate(held) if r[0] == i)
+                        yield flush(held[:at], place)[0]
+                        held = held[at:]
+                        held_size = sum(len(r[1]) for r in held)
+                data = _text(t)
+                held.append((i, data))
+                held_size, last = held_size + len(data), i
+        if held:
+            yield flush(held, place)[0]
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, spans: array<struct<s, e>> of starts (first and last) of LENGTH-byte strings that also start in a
-    document with a smaller id; only rows that have any.  docs: doc_id, rid, text; no null id."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    return dealt.mapInPandas(pack, f"chunk long, place long, ids array<{kind}>, ranks array<int>, sizes array<int>, data binary")
 
-    def names(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            each = [np.unique(units(_bytes(t))[0]) for t in pdf["text"]]
-            size = [len(x) for x in each]
-            yield pd.DataFrame({"g": np.concatenate([*each, np.zeros(0, dtype=np.uint64)]).view(np.int64), "doc_id": np.repeat(pdf["doc_id"].to_numpy(), size), "rid": np.repeat(pdf["rid"].to_numpy(), size)})
 
-    # one exchange: what it brings together is sorted, so that equal names stand side by side
-    sampled = docs.mapInPandas(names, f"g long, doc_id {kind}, rid long").repartition("g").sortWithinPartitions("g", "doc_id")
-    flagged = durable(sampled.mapInPandas(_shared_names, f"g long, doc_id {kind}, rid long").groupBy(*ROW).agg(F.collect_list("g").alias("names")))
-    _release(spark)
+ASKED = "chunk long, place long, step string, range int, a binary, b binary"
+SAID = "chunk long, step string, range int, said binary"
+COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def named_units(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            out = []
-            for d, i, t, wanted in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["names"], strict=True):
-                g, u, s, e = units(_bytes(t))
-                hit = np.isin(g.view(np.int64), np.asarray(wanted))
-                out.append(pd.DataFrame({"g": g[hit].view(np.int64), "u": u[hit].view(np.int64), "doc_id": d, "rid": i, "s": s[hit], "e": e[hit]}))
-            yield pd.concat(out) if out else pd.DataFrame({"g": [], "u": [], "doc_id": [], "rid": [], "s": [], "e": []})
-
-    every = durable(docs.join(flagged, ROW).select(*ROW, "text", "names").mapInPandas(named_units, f"g long, u long, doc_id {kind}, rid long, s long, e long"))
-    _release(spark)
-    least = durable(every.groupBy("g", "u").agg(F.min("doc_id").alias("first")))
-    whole = every.join(least, ["g", "u"]).where(F.col("first") < F.col("doc_id")).select(*ROW, "s", "e")
-
-    # tuples with several units: their strings are named one by one, in each unit's first document alone
-    several = least.groupBy("g").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x < y").select("g")
-    partly = every.join(least.join(several, "g", "left_semi"), ["g", "u"]).where(F.col("first") == F.col("doc_id"))
-    ranges = partly.groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-
-    def strings(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            out = []
-            for d, i, t, spans in zip(pdf["doc_id"], pdf["rid"], pdf["text"], pdf["ranges"], strict=True):
-                h = tuple_hashes(_bytes(t))
-                starts = np.unique(np.concatenate([np.arange(x["s"], x["e"] + 1) for x in spans]))
-                with np.errstate(over="ignore"):
-                    out.append(pd.DataFrame({"g": h[cover(h)[starts]].view(np.int64), "w": string_hashes(h)[starts].view(np.int64), "doc_id": d, "rid": i, "s": starts}))
-            yield pd.concat(out) if out else pd.DataFrame({"g": [], "w": [], "doc_id": [], "rid": [], "s": []})
-
-    single = docs.join(ranges, ROW).select(*ROW, "text", "ranges").mapInPandas(strings, f"g long, w long, doc_id {kind}, rid long, s long")
-    # equal strings stand side by side, the smallest document first; nothing of a group is held
-    first = F.first("doc_id").over(Window.partitionBy("g", "w").orderBy("doc_id"))
-    repeats = single.withColumn("first", first).where(F.col("first") < F.col("doc_id")).select(*ROW, "s", F.col("s").alias("e"))
-    return whole.unionByName(repeats).groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-
-
-def removed_runs(spans: list, n: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by the strings that start in spans."""
-    cut = np.zeros(n + 1, dtype=np.int64)
-    for x in spans:
-        cut[x["s"]] += 1
-        cut[min(n, x["e"] + LENGTH)] -= 1
-    on = np.concatenate([[False], np.cumsum(cut[:-1]) > 0, [False]])
-    edge = np.flatnonzero(on[1:] != on[:-1])
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+def _judged(doc_id, data: bytes, runs: list, with_text: bool) -> tuple:
+    kept, at = [], 0
+    for a, b in runs:
+        kept.append(data[at:a])
+        at = b
+    left = b"".join([*kept, data[at:]])
+    return doc_id, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), *[left] * with_text
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary); one row per input row.
 
     A null text counts as empty.  A row with a null id is neither searched nor a source and stays as it is; rows that
-    share an id are no sources for each other, and each is judged on its own text."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("text"))
-    spans = durable(repeated_spans(rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))))
-    _release(docs.sparkSession)
-    judged = rows.join(spans, ROW, "left").select("doc_id", "text", "spans")
+    share an id are no sources for each other, and each is judged on its own text.  Equality is by 96 bits of hashes
+    (see above).  A text is held whole by one task, with some 20 bytes a byte of it."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    searched = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    total = rows.where(searched).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    samples = max(1, total * len(COVER) // PERIOD)
+    bits = min(64, math.ceil(math.log2(samples)) + SPARE_BITS)
+    size = max(CHUNK, int(math.sqrt(samples * MEETING) * PERIOD / len(COVER)))
+    ranges = max(1, min(1 << 20, samples // max(MEETING, size * len(COVER) // PERIOD // 4)))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = durable(_chunks(rows.where(searched), size).repartition(parts, "chunk"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+
+    def held(row: pd.DataFrame, said: pd.DataFrame) -> Chunk:
+        by_step: dict[str, list] = {}
+        for step, r, x in zip(said["step"], said["range"], said["said"], strict=True):
+            by_step.setdefault(step, []).append((r, x))
+        return Chunk(row.iloc[0], bits, by_step)
+
+    def asked(row: pd.DataFrame, step: str, entries: Entries, width: int) -> pd.DataFrame:
+        out = [(row["chunk"].iat[0], row["place"].iat[0], step, *x) for x in entries.requests(width, ranges)]
+        return pd.DataFrame(out, columns=["chunk", "place", "step", "range", "a", "b"])
 
-    def run(batches: Iterator) -> Iterator:
+    def name(batches: Iterator) -> Iterator:
         for pdf in batches:
-            out = []
-            for d, t, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                data = _bytes(t)
-                runs = removed_runs(spans, len(data)) if spans is not None else []
-                kept, at = [], 0
-                for a, b in runs:
-                    kept.append(data[at:a])
-                    at = b
-                left = b"".join([*kept, data[at:]])
-                out.append((d, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), *[left] * with_text))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text)
-
-    return judged.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+            for k in range(len(pdf)):
+                row = pdf.iloc[k : k + 1]
+                yield asked(row, "names", Chunk(row.iloc[0], bits, {}).sample(), bits)
+
+    def next_step(step: str):
+        def run(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+            return asked(row, step, getattr(held(row, said), step)(), 64)
+
+        return run
+
+    def judge(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        chunk = held(row, said)
+        out = [_judged(i, t, runs, with_text) for i, t, runs in zip(row["ids"].iat[0], chunk.texts, chunk.repeats(), strict=True)]
+        return pd.DataFrame(out, columns=COLUMNS + ["kept"] * with_text)
+
+    def answered(requests: DataFrame) -> DataFrame:
+        return durable(requests.groupBy("range").applyInPandas(answer, SAID))
+
+    # every step works from the chunks and the answers so far
+    said = answered(chunks.mapInPandas(name, ASKED))
+    for step in STEPS[1:]:
+        said = said.unionByName(answered(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(next_step(step), ASKED)))
+    found = chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(judge, result)
+
+    def untouched(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            yield pd.DataFrame([_judged(i, _text(t), [], with_text) for i, t in zip(pdf["doc_id"], pdf["text"], strict=True)], columns=COLUMNS + ["kept"] * with_text)
+
+    return found.unionByName(rows.where(~searched).mapInPandas(untouched, result))

@@ -284,7 +284,10 @@ def removed(rows):
     return out
 
 
-def test_repeats(spark, texts):
+@pytest.mark.parametrize("chunk, meeting", [(4 << 20, 300), (700, 1)])
+def test_repeats(spark, texts, monkeypatch, chunk, meeting):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "MEETING", meeting)
     rng = random.Random(7)
     rows = [*texts.items()]
     for k in range(80):
@@ -292,10 +295,23 @@ def test_repeats(spark, texts):
         i, j = rng.randrange(max(1, len(a))), rng.randrange(max(1, len(b)))
         rows.append((5000 + k, a[i : i + rng.choice([30, 49, 50, 51, 80, 300])] + b[j : j + rng.choice([30, 50, 120])]))
     rows += [(6000, "ab" * 200), (6001, "ab" * 300), (6002, "z" * 49), (6003, "z" * 50), (6004, "z" * 51)]
+    pieces = ["".join(rng.choices("abcdef ", k=rng.choice([20, 25, 31, 38, 45, 52, 60]))) for _ in range(25)]
+    rows += [(7000 + k, "".join(rng.choices(pieces, k=rng.choice([2, 3, 6, 12, 40])))) for k in range(150)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed(rows)
 
 
+def test_repeats_of_one_id_on_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    monkeypatch.setattr(suffix_dedup, "MEETING", 1)
+    rng = random.Random(3)
+    a, b, c = ("".join(rng.choices("abcdefgh", k=120)) for _ in range(3))
+    rows = [(1, a), *[(2, f"{k}{b}{k}") for k in range(12)], (2, a), (3, b), (3, c), (4, c + b)]
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 120, 0), *[(2, len(f"{k}{k}") + 120, 0) for k in range(12)], (2, 120, 120), (3, 120, 120), (3, 120, 0), (4, 240, 240)]
+    assert got == collections.Counter(want)
+
+
 def test_cascade_order_does_not_change_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     plain = quality_rules.QualityCascade()
