@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
+import tempfile
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Shuffle files go when the execution that wrote them ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ADAPTIVE = "spark.sql.adaptive.enabled"
+
+
+def durable(df: DataFrame, dealt: bool = False) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint, in the folder that the cluster names in
-    spark.checkpoint.dir; only where that is unset (local tests), in a folder of our own."""
-    sc = df.sparkSession.sparkContext
+    spark.checkpoint.dir.  That folder must be shared, so without one this raises, unless Spark runs in one process.
+    What the checkpoint shuffled is freed with it.  dealt: later plans know how df's last repartition dealt its rows,
+    and needn't deal them anew."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerspark")
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    with _settings(spark, {FREE: "true"} | ({ADAPTIVE: "false"} if dealt else {})):
+        return df.select("*").checkpoint()
+
+
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def fresh(df: DataFrame) -> DataFrame:

@@ -323,7 +323,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     size = max(CHUNK, int(math.sqrt(samples * MEETING) * PERIOD / len(COVER)))
     ranges = max(1, min(1 << 20, samples // max(MEETING, size * len(COVER) // PERIOD // 4)))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    chunks = durable(_chunks(rows.where(searched), size).repartition(parts, "chunk"))
+    chunks = durable(_chunks(rows.where(searched), size).repartition(parts, "chunk"), dealt=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
