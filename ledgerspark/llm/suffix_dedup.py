@@ -42,21 +42,21 @@ CHUNK, MEETING = 4 << 20, 300
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407], dtype=np.uint64)
 MOST = (1 << 15) - 1
-STEPS = ("names", "units", "strings")
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
 
 
 def _hash(parts: list[np.ndarray], seed: np.uint64) -> np.ndarray:
-    """A hash of the sequence of parts, for each element."""
+    """A hash of the sequence of parts, for each element; parts that differ in one place never have one hash."""
     with np.errstate(over="ignore"):
         h = np.full(len(parts[0]), seed, dtype=np.uint64)
         for p in parts:
-            h = _mix((h ^ _mix(p * _B + seed)) * _A + _M)
-        return h
+            t = p * (_A ^ seed)
+            t ^= t >> np.uint64(32)
+            h += t
+            h *= _M
+            h ^= h >> np.uint64(29)
+        h *= _B
+        h ^= h >> np.uint64(32)
+    return h
 
 
 def _bytes_at(data: bytes, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -69,39 +69,53 @@ def _squeeze(values: np.ndarray) -> bytes:
     """Integers by planes of their bytes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
 def _spread(held: bytes, kind: str) -> np.ndarray:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, len(raw) // np.dtype(kind).itemsize).T).reshape(-1).view(kind)
 
 
 def _text(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _sorted(a: np.ndarray, b: np.ndarray | None, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys (a, b), a below 2 ** width, and where in it a new key begins."""
+    places = max(1, len(a) - 1).bit_length()
+    if width + places <= 64:
+        packed = np.sort(a << np.uint64(places) | np.arange(len(a), dtype=np.uint64))
+        order, x = (packed & np.uint64((1 << places) - 1)).astype(np.int64), packed >> np.uint64(places)
+    else:
+        order = np.argsort(a, kind="stable")
+        x = a[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    if b is not None:
+        y = b[order]
+        if (~new[1:] & (y[1:] != y[:-1])).any():
+            order = np.lexsort((b, a))
+            x, y = a[order], b[order]
+            new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, new
+
+
 class Entries:
     """The distinct keys (a, b) of a chunk in sorted order; at: the entry of each given key; first: the rank of the
     first document that holds an entry; several: whether several documents do.  Ranks are given in ascending order."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray | None, rank: np.ndarray):
-        order = np.argsort(a, kind="stable") if b is None else np.lexsort((b, a))
-        x = a[order]
-        new = np.ones(len(x), dtype=bool)
-        new[1:] = x[1:] != x[:-1]
-        if b is not None:
-            y = b[order]
-            new[1:] |= y[1:] != y[:-1]
+    def __init__(self, a: np.ndarray, b: np.ndarray | None, rank: np.ndarray, width: int = 64):
+        order, new = _sorted(a, b, width)
         start = np.flatnonzero(new)
-        self.a, self.b = x[start], None if b is None else y[start]
-        self.at = np.empty(len(x), dtype=np.int64)
+        lead = order[start]
+        self.a, self.b = a[lead], None if b is None else b[lead]
+        self.at = np.empty(len(a), dtype=np.int32)
         self.at[order] = np.cumsum(new) - 1
-        r = rank[order]
-        self.first = r[start]
-        self.several = (r[np.append(start[1:], len(r)) - 1] if len(r) else r) > self.first
+        self.first = rank[lead]
+        self.several = rank[order[np.append(start[1:], len(a)) - 1]] > self.first if len(a) else np.zeros(0, dtype=bool)
 
     def requests(self, bits: int, ranges: int) -> Iterator[tuple[int, bytes, bytes]]:
         """(range, keys a, keys b) for ranges of the first of `bits` bits."""
@@ -114,135 +128,143 @@ class Entries:
 
 def answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each request of a range: for each of its keys twice the number of chunks that hold it, up to MOST, plus one
-    if none of these comes before the request's own chunk."""
+    if none of these comes before the request's own chunk.  What a chunk notes for itself (a range below 0) passes."""
+    if pdf["range"].iat[0] < 0:
+        return pd.DataFrame({"chunk": pdf["chunk"], "range": -1, "said": pdf["a"]})
+    pdf = pdf.sort_values("place")
     a, b, sizes = [], [], []
     for ka, kb in zip(pdf["a"], pdf["b"], strict=True):
         a.append(np.cumsum(_spread(ka, "<u8"), dtype=np.uint64))
         sizes.append(len(a[-1]))
-        b.append(_spread(kb, "<u4") if kb else np.zeros(sizes[-1], dtype=np.uint32))
-    a, b, place = np.concatenate(a), np.concatenate(b), np.repeat(pdf["place"].to_numpy(), sizes)
-    order = np.lexsort((place, b, a))
-    a, b, place = a[order], b[order], place[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        b.append(_spread(kb, "<u4") if kb else None)
+    both = None if b[0] is None else np.concatenate(b)
+    order, new = _sorted(np.concatenate(a), both)
+    place = np.repeat(pdf["place"].to_numpy(), sizes)[order]
     start, group = np.flatnonzero(new), np.cumsum(new) - 1
-    held = np.minimum(np.diff(np.append(start, len(a))), MOST)
-    said = np.empty(len(a), dtype=np.uint16)
+    held = np.minimum(np.diff(np.append(start, len(order))), MOST)
+    said = np.empty(len(order), dtype=np.uint16)
     said[order] = held[group] * 2 + (place == place[start][group])
-    cut = np.cumsum(sizes)[:-1]
-    return pd.DataFrame({"chunk": pdf["chunk"], "step": pdf["step"], "range": pdf["range"], "said": [_squeeze(x) for x in np.split(said, cut)]})
+    return pd.DataFrame({"chunk": pdf["chunk"], "range": pdf["range"], "said": [_squeeze(x) for x in np.split(said, np.cumsum(sizes)[:-1])]})
+
+
+def _noted(**arrays: np.ndarray) -> bytes:
+    """Arrays that a chunk notes for its next step; starts are kept as differences."""
+    import pickle
+
+    return pickle.dumps({k: (str(v.dtype), _squeeze(np.diff(v, prepend=v.dtype.type(0)) if k == "start" else v)) for k, v in arrays.items()})
+
+
+def _recalled(noted: bytes) -> dict[str, np.ndarray]:
+    import pickle
+
+    out = {k: _spread(v, kind) for k, (kind, v) in pickle.loads(noted).items()}
+    return out | {"start": np.cumsum(out["start"], dtype=np.int64)}
 
 
 class Chunk:
-    """The texts of a chunk and what is known of their strings after the steps answered so far."""
+    """The texts of a chunk, one after the other, and what the ranges said of its last step."""
 
-    def __init__(self, row, bits: int, said: dict[str, list]):
+    def __init__(self, row, bits: int, said: list[tuple[int, bytes]]):
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=int(sum(row["sizes"])) or 1)
-        ends = np.cumsum(row["sizes"])
-        self.texts = [raw[e - n : e] for e, n in zip(ends.tolist(), row["sizes"], strict=True)]
-        self.rank = np.asarray(row["ranks"])
-        self.bits = bits
-        self.said = {step: np.concatenate([np.zeros(0, dtype=np.uint16), *(_spread(x, "<u2") for _, x in sorted(said.get(step, [])))]) for step in STEPS}
+        self.size = np.asarray(row["sizes"], dtype=np.int64)
+        self.raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=int(self.size.sum()) or 1)
+        self.begin = np.cumsum(self.size) - self.size
+        self.rank, self.bits = np.asarray(row["ranks"]), bits
+        said = sorted(said)
+        self.note = _recalled(said.pop(0)[1]) if said and said[0][0] < 0 else None
+        self.said = np.concatenate([np.zeros(0, dtype=np.uint16), *(_spread(x, "<u2") for _, x in said)])
 
-    def sample(self) -> Entries:
+    def names(self) -> tuple[Entries, bytes | None]:
         """Step 1: names of all sampled positions."""
-        names, at, of = [], [], []
-        for k, data in enumerate(self.texts):
-            p = (np.arange(0, len(data) - GRAM + 1, PERIOD)[:, None] + np.array(COVER)).reshape(-1)
-            p = p[p <= len(data) - GRAM]
-            parts = _bytes_at(data, p, GRAM)
-            names.append((_hash(parts, _SEEDS[0]), _hash(parts, _SEEDS[1])))
-            at.append(p)
-            of.append(np.full(len(p), k))
-        self.names = [np.concatenate(x) for x in zip(*names, strict=True)]
-        self.at, self.of = np.concatenate(at), np.concatenate(of)
-        self.begun = np.cumsum([0, *map(len, at)])
-        self.cut = self.names[0] >> np.uint64(64 - self.bits)
-        return Entries(self.cut, None, self.rank[self.of])
-
-    def units(self) -> Entries:
+        least = self.size - GRAM + 1
+        at = [(np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).reshape(-1) for n in least.tolist()]
+        at = [p[: np.searchsorted(p, n)] for p, n in zip(at, least.tolist(), strict=True)]
+        count = np.array([len(p) for p in at])
+        self.begun = np.append(0, np.cumsum(count))
+        self.of = np.repeat(np.arange(len(at)), count)
+        self.at = np.concatenate(at)
+        parts = _bytes_at(self.raw, self.at + self.begin[self.of], GRAM)
+        self.name = [_hash(parts, seed) for seed in _SEEDS]
+        return Entries(self.name[0] >> np.uint64(64 - self.bits), None, self.rank[self.of], self.bits), None
+
+    def units(self) -> tuple[Entries, bytes]:
         """Step 2: units of the sampled positions whose names several documents hold."""
-        e = self.sample()
-        held = self.said["names"] >> 1
+        e, _ = self.names()
+        held = self.said >> 1
         kept = np.flatnonzero(((held > 1) | e.several)[e.at])
         of, at = self.of[kept], self.at[kept]
-        size = np.array([len(t) for t in self.texts])[of]
-        # the starts of the strings that a position stands for
-        self.low, self.high = np.maximum(at - PERIOD + 1, 0), np.minimum(at, size - LENGTH)
-        on = self.high >= self.low
-        kept, of, at, size, self.low, self.high = kept[on], of[on], at[on], size[on], self.low[on], self.high[on]
-        self.kept_of, step = of, len(COVER)
+        low, high = self._starts(of, at)
+        kept, of, at = kept[high >= low], of[high >= low], at[high >= low]
+        step = len(COVER)
         before, after = kept - step >= self.begun[of], kept + step < self.begun[of + 1]
         both = []
-        for seed, name in zip(_SEEDS, self.names, strict=True):
+        for seed, name in zip(_SEEDS, self.name, strict=True):
             left, right = name[np.where(before, kept - step, 0)], name[np.where(after, kept + step, 0)]
             for has, side, cut in ((before, left, 0), (after, right, 1)):
                 # where a text ends within the unit, the bytes up to its end stand for the name
                 for i in np.flatnonzero(~has).tolist():
-                    data, p = self.texts[of[i]], int(at[i])
-                    end = data[p + GRAM : p + LENGTH + 1] if cut else data[max(0, p - PERIOD) : p]
-                    side[i] = int.from_bytes(hashlib.blake2b(end, digest_size=8, salt=int(seed).to_bytes(8, "big")).digest(), "big")
+                    begin, p = int(self.begin[of[i]]), int(at[i])
+                    p, end = (p + GRAM, min(p + LENGTH + 1, int(self.size[of[i]]))) if cut else (max(0, p - PERIOD), p)
+                    side[i] = int.from_bytes(hashlib.blake2b(self.raw[begin + p : begin + end], digest_size=8, salt=int(seed).to_bytes(8, "big")).digest(), "big")
             both.append(_hash([left, name[kept], right], seed))
         units = Entries(both[0], (both[1] >> np.uint64(32)).astype(np.uint32), self.rank[of])
         # a name has several units if fewer chunks hold one of them than hold the name, or a chunk has two of them
-        by_name = np.lexsort((units.at, e.at[kept]))
-        n, u = e.at[kept][by_name], units.at[by_name]
-        torn = np.unique(n[1:][(n[1:] == n[:-1]) & (u[1:] != u[:-1])])
-        self.name_held, self.torn = held[e.at[kept]], np.isin(e.at[kept], torn)
-        return units
-
-    def strings(self) -> Entries:
-        """Step 3: strings of units that come first while their names have other units too.  Notes what step 2 found."""
-        units = self.units()
-        held, leads = (self.said["units"] >> 1)[units.at], (self.said["units"] & 1).astype(bool)[units.at]
-        local = self.rank[self.kept_of] == units.first[units.at]
-        first = leads & local
-        self.found = [(self.kept_of[~first], self.low[~first], self.high[~first] + LENGTH)]
+        name = e.at[kept]
+        some = np.zeros(len(held), dtype=np.int32)
+        some[name] = units.at
+        torn = np.zeros(len(held), dtype=bool)
+        torn[name[some[name] != units.at]] = True
+        flags = torn[name] + 2 * (self.rank[of] == units.first[units.at])
+        return units, _noted(start=at + self.begin[of], entry=units.at, held=held[name], flags=flags.astype(np.uint8))
+
+    def _starts(self, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last start of the strings that positions stand for."""
+        return np.maximum(at - PERIOD + 1, 0), np.minimum(at, self.size[of] - LENGTH)
+
+    def _within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each byte of the chunk is in any [low, high)."""
+        n = len(self.raw) + 1
+        return np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n))[:-1] > 0
+
+    def strings(self) -> tuple[Entries, bytes]:
+        """Step 3: strings of units that come first while their names have other units too."""
+        note = self.note
+        of = np.searchsorted(self.begin, note["start"], side="right") - 1
+        low, high = (x + self.begin[of] for x in self._starts(of, note["start"] - self.begin[of]))
+        held, leads = (self.said >> 1)[note["entry"]], (self.said & 1).astype(bool)[note["entry"]]
+        torn, local = note["flags"] & 1 > 0, note["flags"] & 2 > 0
+        later = ~(leads & local)
+        gone = self._within(low[later], high[later] + LENGTH)
         # Where every chunk that holds a name holds one unit, only the chunks that hold others too open it.  There, the
         # strings of a unit that an earlier chunk holds are known repeats, and so are strings equal to them.
-        open_ = np.flatnonzero(local & (self.torn | first & ((held != self.name_held) | (held == MOST))))
-        of, at = self.kept_of[open_], [np.arange(a, b + 1) for a, b in zip(self.low[open_].tolist(), self.high[open_].tolist(), strict=True)]
-        size = [len(x) for x in at]
-        of, at, known = np.repeat(of, size), np.concatenate([*at, np.zeros(0, dtype=np.int64)]), np.repeat(~leads[open_], size)
-        order = np.lexsort((~known, at, of))
-        of, at, known = of[order], at[order], known[order]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1]) | (of[1:] != of[:-1])
-        self.string_of, self.string_at, self.known = of[new], at[new], known[new]
-        names = [np.zeros(len(self.string_at), dtype=np.uint64) for _ in _SEEDS]
-        cut = np.searchsorted(self.string_of, np.arange(len(self.texts) + 1))
-        for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-            part = slice(cut[k], cut[k + 1])
-            parts = _bytes_at(self.texts[k], self.string_at[part], LENGTH)
-            for seed, name in zip(_SEEDS, names, strict=True):
-                name[part] = _hash(parts, seed)
-        return Entries(names[0], (names[1] >> np.uint64(32)).astype(np.uint32), self.rank[self.string_of])
+        open_ = local & (torn | leads & ((held != note["held"]) | (held == MOST)))
+        at = np.flatnonzero(self._within(low[open_], high[open_] + 1))
+        known = self._within(low[open_ & ~leads], high[open_ & ~leads] + 1)[at]
+        rank = self.rank[np.searchsorted(self.begin, at, side="right") - 1]
+        if len(at):
+            parts = _bytes_at(self.raw, at, LENGTH)
+            one, two = (_hash(parts, seed) for seed in _SEEDS)
+        else:
+            one = two = np.zeros(0, dtype=np.uint64)
+        strings = Entries(one, (two >> np.uint64(32)).astype(np.uint32), rank)
+        local = rank == strings.first[strings.at]
+        return strings, _noted(start=at, entry=strings.at, flags=(known + 2 * local).astype(np.uint8), gone=np.packbits(gone))
 
     def repeats(self) -> list[list[tuple[int, int]]]:
         """Step 4: for each text its maximal runs of bytes covered by repeats."""
-        strings = self.strings()
-        if len(self.string_at):
-            leads = (self.said["strings"] & 1).astype(bool)[strings.at]
-            known = np.zeros(len(strings.a), dtype=bool)
-            known[strings.at[self.known]] = True
-            later = ~(leads & (self.rank[self.string_of] == strings.first[strings.at])) | known[strings.at]
-            self.found.append((self.string_of[later], self.string_at[later], self.string_at[later] + LENGTH))
-        of, low, high = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        order = np.argsort(of, kind="stable")
-        of, low, high = of[order], low[order], high[order]
-        cut = np.searchsorted(of, np.arange(len(self.texts) + 1))
-        return [_runs(low[a:b], high[a:b], len(t)) for t, a, b in zip(self.texts, cut[:-1], cut[1:], strict=True)]
-
-
-def _runs(low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by [low, high)."""
-    if not len(low):
-        return []
-    depth = np.cumsum(np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1))[:-1]
-    on = np.concatenate([[False], depth > 0, [False]])
-    edge = np.flatnonzero(on[1:] != on[:-1])
+        note = self.note
+        known = np.zeros(len(self.said), dtype=bool)
+        known[note["entry"][note["flags"] & 1 > 0]] = True
+        later = ~((self.said & 1).astype(bool)[note["entry"]] & (note["flags"] & 2 > 0)) | known[note["entry"]]
+        at = note["start"][later]
+        gone = self._within(at, at + LENGTH) | np.unpackbits(note["gone"], count=len(self.raw)).astype(bool)
+        return [_runs(gone[a : a + n]) for a, n in zip(self.begin.tolist(), self.size.tolist(), strict=True)]
+
+
+def _runs(on: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
@@ -295,8 +317,8 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
     return dealt.mapInPandas(pack, f"chunk long, place long, ids array<{kind}>, ranks array<int>, sizes array<int>, data binary")
 
 
-ASKED = "chunk long, place long, step string, range int, a binary, b binary"
-SAID = "chunk long, step string, range int, said binary"
+ASKED = "chunk long, place long, range long, a binary, b binary"
+SAID = "chunk long, range long, said binary"
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
 
@@ -327,40 +349,38 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
-    def held(row: pd.DataFrame, said: pd.DataFrame) -> Chunk:
-        by_step: dict[str, list] = {}
-        for step, r, x in zip(said["step"], said["range"], said["said"], strict=True):
-            by_step.setdefault(step, []).append((r, x))
-        return Chunk(row.iloc[0], bits, by_step)
-
-    def asked(row: pd.DataFrame, step: str, entries: Entries, width: int) -> pd.DataFrame:
-        out = [(row["chunk"].iat[0], row["place"].iat[0], step, *x) for x in entries.requests(width, ranges)]
-        return pd.DataFrame(out, columns=["chunk", "place", "step", "range", "a", "b"])
+    def asked(row: pd.DataFrame, entries: Entries, note: bytes | None, width: int) -> pd.DataFrame:
+        chunk = int(row["chunk"].iat[0])
+        out = [(chunk, row["place"].iat[0], *x) for x in entries.requests(width, ranges)]
+        if note is not None:
+            out.append((chunk, chunk, -1 - chunk, note, b""))
+        return pd.DataFrame(out, columns=["chunk", "place", "range", "a", "b"])
 
     def name(batches: Iterator) -> Iterator:
         for pdf in batches:
             for k in range(len(pdf)):
                 row = pdf.iloc[k : k + 1]
-                yield asked(row, "names", Chunk(row.iloc[0], bits, {}).sample(), bits)
+                yield asked(row, *Chunk(row.iloc[0], bits, []).names(), bits)
 
-    def next_step(step: str):
-        def run(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-            return asked(row, step, getattr(held(row, said), step)(), 64)
+    def told(row: pd.DataFrame, said: pd.DataFrame) -> Chunk:
+        return Chunk(row.iloc[0], bits, list(zip(said["range"], said["said"], strict=True)))
 
-        return run
+    def next_step(step: str):
+        return lambda row, said: asked(row, *getattr(told(row, said), step)(), 64)
 
     def judge(row: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        chunk = held(row, said)
-        out = [_judged(i, t, runs, with_text) for i, t, runs in zip(row["ids"].iat[0], chunk.texts, chunk.repeats(), strict=True)]
+        chunk = told(row, said)
+        texts = [chunk.raw[a : a + n] for a, n in zip(chunk.begin.tolist(), chunk.size.tolist(), strict=True)]
+        out = [_judged(i, t, runs, with_text) for i, t, runs in zip(row["ids"].iat[0], texts, chunk.repeats(), strict=True)]
         return pd.DataFrame(out, columns=COLUMNS + ["kept"] * with_text)
 
     def answered(requests: DataFrame) -> DataFrame:
         return durable(requests.groupBy("range").applyInPandas(answer, SAID))
 
-    # every step works from the chunks and the answers so far
+    # every step works from the chunks and the last answers
     said = answered(chunks.mapInPandas(name, ASKED))
-    for step in STEPS[1:]:
-        said = said.unionByName(answered(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(next_step(step), ASKED)))
+    for step in ("units", "strings"):
+        said = answered(chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(next_step(step), ASKED))
     found = chunks.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInPandas(judge, result)
 
     def untouched(batches: Iterator) -> Iterator:
