@@ -21,9 +21,10 @@ def check_sources(sources: DataFrame, settings: Settings = Settings(), strict: b
         found = found.where(F.col("code").isin(*only))
     if skip:
         found = found.where(~F.col("code").isin(*skip))
+    found = rules.ignored_by_file(found, table, settings.per_file_ignores)
     off = rules.suppressed(found, lint.source_lines(sources), table, settings.directive)
     kept = found.join(off.distinct(), ["path", "code", "line_no"], "left_anti")
-    return kept.join(F.broadcast(table.select("code", "severity")), "code", "left").select("path", "code", "line_no", "severity")
+    return rules.graded(kept, table).select("path", "code", "line_no", "severity")
 
 
 def check(spark: SparkSession, target: str, settings: Settings = Settings(), **options) -> DataFrame:

@@ -3,9 +3,10 @@ arguments."""
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
 
@@ -21,12 +22,16 @@ class Settings:
     ignore: tuple[str, ...] = ()
     extend_ignore: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    #: {glob of paths: patterns of rules that are off for them}
+    per_file_ignores: dict[str, tuple[str, ...]] = field(default_factory=dict)
     fail_on: str = "error"
     directive: str = "ledger"
 
 
 def _typed(name: str, value):
     kind = type(getattr(Settings(), name))
+    if kind is dict:
+        return {k: tuple(v) for k, v in (json.loads(value) if isinstance(value, str) else value).items()}
     if kind is tuple:
         return tuple(value.split(",")) if isinstance(value, str) else tuple(value)
     return kind(value)

@@ -81,6 +81,15 @@ def budget_gate(estimates: DataFrame) -> DataFrame:
     return estimates.select("id", F.when(F.col("budget").isNull(), "no_budget").when(F.col("cost") > limit, "over").otherwise("ok").alias("status"))
 
 
+def compared(scenarios: DataFrame, baseline: str) -> DataFrame:
+    """grp, name, cost, confidence, saving, saving_pct, verified: every scenario of a group (grp, name, cost,
+    confidence) beside the baseline scenario of the group; null where either cost is unknown or the baseline's is 0.
+    verified: the cost was measured (confidence 1) rather than estimated."""
+    base = scenarios.where(F.col("name") == baseline).groupBy("grp").agg(F.min("cost").alias("_base"))
+    saving = F.col("_base") - F.col("cost")
+    return scenarios.join(base, "grp", "left").select("grp", "name", "cost", "confidence", saving.alias("saving"), F.try_divide(saving, F.col("_base")).alias("saving_pct"), (F.col("confidence") >= 1).alias("verified"))
+
+
 def best_scenario(scenarios: DataFrame) -> DataFrame:
     """Of each group's scenarios (grp, name, cost, confidence) the cheapest, then the most trusted; a cost that is null
     or 0 is unknown and counts as infinite."""

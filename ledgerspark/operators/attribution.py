@@ -57,21 +57,37 @@ def query_samples(usage: DataFrame, history: DataFrame, limit: int = 10) -> Data
     return met.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= limit).drop("_r")
 
 
-def similar_queries(history: DataFrame, wanted: Column, limit: int = 10) -> DataFrame:
-    """Finished statements with that fingerprint: the newest limit of those among the newest limit * 100."""
+def within(usage: DataFrame, history: DataFrame, warehouse_id: str | None = None, as_of: str | None = None, days: int = 30) -> tuple[DataFrame, DataFrame]:
+    """usage and history of one warehouse and of the days before as_of, for the reports below."""
+    if warehouse_id is not None:
+        usage, history = usage.where(F.col("usage_metadata.warehouse_id") == warehouse_id), history.where(F.col("warehouse_id") == warehouse_id)
+    if as_of is not None:
+        usage, history = usage.where(F.col("usage_start_time") >= ntz(as_of, days)), history.where(F.col("start_time") >= ntz(as_of, days))
+    return usage, history
+
+
+def similar_queries(history: DataFrame, wanted: Column, limit: int = 10, warehouse_id: str | None = None) -> DataFrame:
+    """Finished statements (of one warehouse, if named) with that fingerprint: the newest limit of those among the
+    newest limit * 100."""
+    if warehouse_id is not None:
+        history = history.where(F.col("warehouse_id") == warehouse_id)
     newest = history.where(F.col("status") == "FINISHED").orderBy(F.desc("start_time"), "statement_id").limit(limit * 100)
     return newest.withColumn("query_fingerprint", fingerprint(F.col("statement_text"))).where(F.col("query_fingerprint") == wanted).orderBy(F.desc("start_time"), "statement_id").limit(limit)
 
 
-def historical_cost(usage: DataFrame, history: DataFrame, list_prices: DataFrame, wanted: Column, limit: int = 100) -> DataFrame:
+def historical_cost(usage: DataFrame, history: DataFrame, list_prices: DataFrame, wanted: Column, limit: int = 100, warehouse_id: str | None = None, as_of: str | None = None, days: int = 30) -> DataFrame:
     """Cost of the statements like the wanted one: no row where they used nothing.  execution_count is the number of
-    statements; the mean is over durations that are known and not 0."""
-    like = similar_queries(history, wanted, limit).withColumnsRenamed({"start_time": "q_start", "end_time": "q_end"})
+    statements; the mean is over durations that are known and not 0; samples are the ten newest statements.
+    warehouse_id restricts both tables, as_of and days the usage."""
+    usage, _ = within(usage, history, warehouse_id, as_of, days)
+    like = similar_queries(history, wanted, limit, warehouse_id).withColumnsRenamed({"start_time": "q_start", "end_time": "q_end"})
     used = overlap_join(_usage_slices(usage, list_prices), like.select("warehouse_id", "q_start", "q_end"), ["warehouse_id"], ("u_start", "u_end"), ("q_start", "q_end"))
     cost = used.agg(F.sum("dbu").cast("double").alias("total_dbu"), F.sum("cost").cast("double").alias("total_cost_usd"))
     ran = F.nullif("execution_duration_ms", F.lit(0))
-    about = like.agg(F.max("query_fingerprint").alias("query_fingerprint"), F.count(F.lit(1)).alias("execution_count"), F.coalesce(rounded(F.avg(ran), 4), F.lit(0.0)).alias("avg_duration_ms"))
-    return about.crossJoin(cost).where("total_dbu <> 0")  # one row each
+    about = like.agg(F.max("query_fingerprint").alias("query_fingerprint"), F.count(F.lit(1)).alias("execution_count"), F.coalesce(rounded(F.avg(ran), 4), F.lit(0.0)).alias("avg_duration_ms"), F.collect_list(F.struct((-F.unix_micros(F.col("q_start").cast("timestamp"))).alias("o"), "statement_id", F.col("q_start").alias("start_time"), F.col("execution_duration_ms").alias("duration_ms"))).alias("samples"))  # at most limit rows
+    ten = F.transform(F.slice(F.array_sort("samples"), 1, 10), lambda x: x.dropFields("o"))
+    about = about.withColumn("samples", ten)
+    return about.crossJoin(cost).where("total_dbu <> 0").select("query_fingerprint", "execution_count", "avg_duration_ms", "total_dbu", "total_cost_usd", "samples")  # one row each
 
 
 def run_costs(runs: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -22,7 +22,7 @@ def _instances(alias: str) -> str:
 @registered("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i AS INT) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE strlen(regexp_replace(ls[i], '\\r$', '')) > 120")
 def lint_long_line(spark, sf_dir):
     sources = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("python").alias("language"), F.col("text").alias("content"))
-    return lint.line_findings(lint.source_lines(sources)).where("code = 'BP002'").select("path", "line_no")
+    return lint.line_findings(lint.source_lines(sources), ("BP002",)).select("path", "line_no")
 
 
 @registered(golden(2))
@@ -36,11 +36,11 @@ def lint_suppressed(spark, sf_dir):
     return rules.suppressed(lint.findings(sources), lint.source_lines(sources), rules.rules_table(spark)).select("path", "code", "line_no")
 
 
-@registered(f"WITH {_RULES}, f AS ({golden(2)}) SELECT code, severity, count(*) AS findings, count(DISTINCT path) AS sources FROM f JOIN rules USING (code) WHERE severity IN ('warning', 'error') GROUP BY 1, 2")
+@registered(f"WITH {_RULES}, f AS ({golden(2)}) SELECT code, severity, count(*) AS findings, count(DISTINCT path) AS sources FROM (SELECT code, path, CASE WHEN code = 'BN001' THEN 'error' WHEN code IN ('BN002', 'BN003') THEN 'warning' ELSE severity END AS severity FROM f JOIN rules USING (code)) WHERE severity IN ('warning', 'error') GROUP BY 1, 2")
 def lint_summary(spark, sf_dir):
     table = rules.rules_table(spark)
     kept = rules.at_least(lint.findings(corpus(spark, sf_dir)), table, "warning")
-    return kept.join(table.select("code", "severity"), "code").groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("sources"))
+    return rules.graded(kept, table).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("sources"))
 
 
 @registered(f"WITH {_RULES} SELECT code FROM rules WHERE (list_contains(tags, 'pyspark') OR starts_with(code, 'BQ') OR code = 'SQ001') AND NOT starts_with(code, 'BP01')")

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that spark.checkpoint.dir names; a folder of our own only where it is
-    unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+
+def ensure_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that spark.checkpoint.dir names.  It must be one that all executors share: without
+    one this raises, unless Spark runs in one process, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/ledgerspark")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint."""
+    ensure_folder(df.sparkSession)
     return df.checkpoint()

@@ -132,6 +132,40 @@ def pipeline_tables(sources: DataFrame) -> DataFrame:
     return sources.select("path", "language", "content").mapInPandas(run, "path string, table_name string, table_kind string, expectations int, line_no int")
 
 
+def pipeline_edges(sources: DataFrame) -> DataFrame:
+    """path, src, dst, kind (sdp_read or live_ref): reads of one pipeline table by another of the same source, by
+    sdp.read, dlt.read, dp.read or a LIVE. name."""
+
+    def run(batches: Iterator) -> Iterator:
+        import ast
+
+        for pdf in batches:
+            rows = []
+            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
+                if language == "sql":
+                    heads = list(re.finditer(rf"(?i)create\s+(?:or\s+refresh\s+)?(?:streaming\s+table|materialized\s+view)\s+(?:if\s+not\s+exists\s+)?{_NAME}", content or ""))
+                    ends = [m.start() for m in heads[1:]] + [len(content or "")] * bool(heads)
+                    rows += [(path, r, m[1], "live_ref") for m, end in zip(heads, ends, strict=True) for r in re.findall(r"\bLIVE\.(\w+)", content[m.end() : end])]
+                    continue
+                try:
+                    tree = ast.parse(content or "")
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    continue
+                for node in (n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)):
+                    for n in ast.walk(node):
+                        if isinstance(n, ast.Call) and ast.unparse(n.func).startswith(("sdp.read", "dlt.read", "dp.read")) and n.args and isinstance(n.args[0], ast.Constant):
+                            rows.append((path, str(n.args[0].value), node.name, "sdp_read"))
+                        if isinstance(n, ast.Constant) and isinstance(n.value, str):
+                            rows += [(path, r, node.name, "live_ref") for r in re.findall(r"\bLIVE\.(\w+)", n.value)]
+            yield pd.DataFrame(rows, columns=["path", "src", "dst", "kind"])
+
+    refs = sources.select("path", "language", "content").mapInPandas(run, "path string, src string, dst string, kind string").distinct()
+    tables = pipeline_tables(sources).select("path", "table_name").distinct()
+    for end in ("src", "dst"):
+        refs = refs.join(tables.withColumnRenamed("table_name", end), ["path", end], "left_semi")
+    return refs.select("path", "src", "dst", "kind")
+
+
 def enriched(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     """nodes with the bytes of the table that each reads or writes (sizes: target, bytes)."""
     return nodes.join(sizes, "target", "left")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import semantics
+
 FINDING = "path string, code string, line_no int"
 SDP_OPERATIONS = ("write", "collect", "show", "display")
 ACTIONS = ("collect", "count", "show", "take", "first", "write")
@@ -29,8 +31,8 @@ def _any(c: Column, *parts: str) -> Column:
     return out
 
 
-def line_findings(lines: DataFrame) -> DataFrame:
-    """Rules that look at one line."""
+def line_findings(lines: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """Rules that look at one line: those wanted, or all."""
     t = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
     up = F.upper(t)
     parts = F.split(t, "=", -1)
@@ -43,6 +45,12 @@ def line_findings(lines: DataFrame) -> DataFrame:
         "BNT-N01": (F.size(parts) == 2) & F.trim(F.get(parts, F.lit(0))).rlike("^df[0-9]*$"),
     }
     sql = {"BD001": _any(up, "VACUUM"), "BQ003": _any(up, "COUNT(DISTINCT"), "BQ004": _any(up, "NOT IN") & _any(up, "SELECT")}
+    if wanted:
+        python, sql = ({k: v for k, v in x.items() if k in wanted} for x in (python, sql))
+        codes = [F.when((F.col("language") == language) & c, code) for language, x in (("python", python), ("sql", sql)) for code, c in x.items()]
+        if len(codes) == 1:
+            return lines.select("path", codes[0].alias("code"), "line_no").where("code IS NOT NULL")
+        return lines.select("path", F.explode(F.array_compact(F.array(*codes))).alias("code"), "line_no")
     codes = F.concat(
         F.when(F.col("language") == "python", F.array(*[F.when(c, code) for code, c in python.items()])).otherwise(F.array().cast("array<string>")),
         F.when(F.col("language") == "sql", F.array(*[F.when(c, code) for code, c in sql.items()])).otherwise(F.array().cast("array<string>")),
@@ -167,9 +175,15 @@ def cache_findings(lines: DataFrame) -> DataFrame:
 
 
 def findings(sources: DataFrame, strict: bool = False) -> DataFrame:
-    """All rules over all sources, a multiset of path, code, line_no."""
+    """All rules over all sources, a multiset of path, code, line_no.  strict adds the rules that are silent in parity
+    mode: BQ002, SQ002, SQ003, BP006, BP007, BP013, and BN002 for dynamic SQL.  BB001, BD002, BP001 and BP005 have no
+    definition."""
     lines = source_lines(sources)
     out = line_findings(lines)
-    for more in (loop_findings(lines), text_findings(sources, strict), syntax_findings(sources), cache_findings(lines)):
+    shadows = semantics.shadowed(semantics.bindings(sources)).select("path", F.lit("BN003").alias("code"), "line_no")
+    if strict:
+        dynamic = semantics.sql_fragments(sources).where("dynamic").select("path", F.lit("BN002").alias("code"), F.col("start_line").alias("line_no"))
+        out = out.unionByName(semantics.notebook_findings(sources)).unionByName(dynamic)
+    for more in (loop_findings(lines), text_findings(sources, strict), syntax_findings(sources), cache_findings(lines), semantics.sql_plan_findings(sources, strict), shadows):
         out = out.unionByName(more)
     return out

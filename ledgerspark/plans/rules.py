@@ -52,10 +52,19 @@ RULES = (
     ("SQ003", "error", "sql", ("sql", "join", "cartesian"), False),
 )
 SEVERITIES = ("info", "warning", "error")
+# Sources that don't parse, dynamic SQL and names bound again are reported under codes of rules, with
+# severities of their own.
+REPORTED = {"BN001": "error", "BN002": "warning", "BN003": "warning"}
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, s, lang, list(t), f) for c, s, lang, t, f in RULES], "code string, severity string, language string, tags array<string>, fires boolean")
+    """The rules; severity is the rule's own, reported the one that its findings have."""
+    return spark.createDataFrame([(c, s, lang, list(t), f, REPORTED.get(c, s)) for c, s, lang, t, f in RULES], "code string, severity string, language string, tags array<string>, fires boolean, reported string")
+
+
+def graded(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """findings with their severity."""
+    return findings.join(F.broadcast(rules.select("code", F.col("reported").alias("severity"))), "code", "left").select(*findings.columns, "severity")  # a fixed list
 
 
 def resolved(patterns: DataFrame, rules: DataFrame) -> DataFrame:
@@ -75,9 +84,33 @@ def active_rules(rules: DataFrame, select=("ALL",), extend_select=(), ignore=(),
     return of([*select, *extend_select]).join(of([*ignore, *extend_ignore]), "code", "left_anti")
 
 
+def glob_regex(glob: str) -> str:
+    """A regular expression for whole paths, or their ends after a slash, that fit a glob of *, ? and [...]."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        close = glob.find("]", i + 2) if c == "[" else -1
+        if close > 0:
+            body = glob[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out += "[" + ("^" + body[1:] if body[0] == "!" else "\\" + body if body[0] == "^" else body) + "]"
+            i = close
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c in "/_-" or ord(c) > 127 else "\\" + c)
+        i += 1
+    return f"(?s)^(?:.*/)?{out}$"
+
+
+def ignored_by_file(findings: DataFrame, rules: DataFrame, ignores: dict[str, tuple[str, ...]]) -> DataFrame:
+    """findings without those that a glob's patterns turn off for the paths that fit it."""
+    for glob, names in ignores.items():
+        codes = [r["code"] for r in resolved(rules.sparkSession.createDataFrame([(n,) for n in names], "pattern string"), rules).select("code").distinct().collect()]  # of a fixed list
+        findings = findings.where(~(F.col("path").rlike(glob_regex(glob)) & F.col("code").isin(*codes)))
+    return findings
+
+
 def at_least(findings: DataFrame, rules: DataFrame, severity: str) -> DataFrame:
     """Findings of that severity or a worse one."""
-    kept = rules.where(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")) > SEVERITIES.index(severity)).select("code")
+    kept = rules.where(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("reported")) > SEVERITIES.index(severity)).select("code")
     return findings.join(kept, "code", "left_semi")
 
 

@@ -167,7 +167,35 @@ def query_samples(spark, sf_dir):
     cost AS (SELECT sum(usage_quantity) AS q, sum({COST}) AS c FROM lk h JOIN usage_li u ON h.warehouse_id = u.warehouse_id AND s <= end_time AND start_time <= e LEFT JOIN price USING (sku_name))
     SELECT sha256('{_WANTED}') AS query_fingerprint, (SELECT count(*) FROM lk) AS execution_count, (SELECT coalesce({r('avg(nullif(execution_duration_ms, 0))', 4)}, 0) FROM lk) AS avg_duration_ms, CAST(q AS DOUBLE) AS total_dbu, CAST(c AS DOUBLE) AS total_cost_usd FROM cost WHERE q <> 0""")
 def historical_cost(spark, sf_dir):
-    return attribution.historical_cost(A.usage_from_lineitem(spark, sf_dir), A.history_from_orders(spark, sf_dir), A.list_prices(spark), F.sha2(F.lit(_WANTED), 256))
+    return attribution.historical_cost(A.usage_from_lineitem(spark, sf_dir), A.history_from_orders(spark, sf_dir), A.list_prices(spark), F.sha2(F.lit(_WANTED), 256)).drop("samples")
+
+
+@registered(f"{with_views('history')}, newest AS (SELECT * FROM history WHERE status = 'FINISHED' AND warehouse_id = '2' ORDER BY start_time DESC, statement_id LIMIT 2000) SELECT statement_id, start_time, execution_duration_ms, warehouse_id, sha256({_NORM}) AS query_fingerprint FROM newest WHERE sha256({_NORM}) = sha256('{_WANTED}') ORDER BY start_time DESC, statement_id LIMIT 20")
+def similar_queries_of_warehouse(spark, sf_dir):
+    return attribution.similar_queries(A.history_from_orders(spark, sf_dir), F.sha2(F.lit(_WANTED), 256), 20, "2").select("statement_id", "start_time", "execution_duration_ms", "warehouse_id", "query_fingerprint")
+
+
+_SPAN = "TIMESTAMP '2002-01-01' - INTERVAL 3650 DAY"
+_OF_3 = f"usage_3 AS (SELECT * FROM usage_li WHERE warehouse_id = '3' AND s >= {_SPAN}), lk AS (SELECT * FROM (SELECT * FROM history WHERE status = 'FINISHED' AND warehouse_id = '3' ORDER BY start_time DESC, statement_id LIMIT 10000) WHERE sha256({_NORM}) = sha256('{_WANTED}') ORDER BY start_time DESC, statement_id LIMIT 100)"
+
+
+@registered(f"""{with_views('usage_li', 'price', 'history')}, {_OF_3}, cost AS (SELECT sum(usage_quantity) AS q, sum({COST}) AS c FROM lk h JOIN usage_3 u ON s <= end_time AND start_time <= e LEFT JOIN price USING (sku_name))
+    SELECT sha256('{_WANTED}') AS query_fingerprint, (SELECT count(*) FROM lk) AS execution_count, (SELECT coalesce({r('avg(nullif(execution_duration_ms, 0))', 4)}, 0) FROM lk) AS avg_duration_ms, CAST(q AS DOUBLE) AS total_dbu, CAST(c AS DOUBLE) AS total_cost_usd FROM cost WHERE q <> 0""")
+def historical_cost_of_warehouse(spark, sf_dir):
+    return attribution.historical_cost(A.usage_from_lineitem(spark, sf_dir), A.history_from_orders(spark, sf_dir), A.list_prices(spark), F.sha2(F.lit(_WANTED), 256), warehouse_id="3", as_of=HISTORY_AS_OF, days=3650).drop("samples")
+
+
+@registered(f"{with_views('usage_li', 'history')}, {_OF_3} SELECT statement_id, start_time, execution_duration_ms AS duration_ms FROM lk WHERE EXISTS (SELECT 1 FROM lk h JOIN usage_3 u ON s <= end_time AND start_time <= e) ORDER BY start_time DESC, statement_id LIMIT 10")
+def historical_samples(spark, sf_dir):
+    found = attribution.historical_cost(A.usage_from_lineitem(spark, sf_dir), A.history_from_orders(spark, sf_dir), A.list_prices(spark), F.sha2(F.lit(_WANTED), 256), warehouse_id="3", as_of=HISTORY_AS_OF, days=3650)
+    return found.select(F.explode("samples").alias("x")).select("x.*")
+
+
+@registered(f"""{with_views('usage_li', 'price', 'history')}, p AS (SELECT sha256({_NORM}) AS fp, usage_quantity AS q, {COST} AS c, execution_duration_ms AS ms FROM usage_li LEFT JOIN price USING (sku_name) JOIN history h ON h.warehouse_id = usage_li.warehouse_id AND s <= end_time AND start_time <= e WHERE usage_li.warehouse_id = '1' AND s >= {_SPAN} AND start_time >= {_SPAN})
+    SELECT fp AS query_fingerprint, CAST(sum(q) AS DOUBLE) AS total_dbu, CAST(sum(c) AS DOUBLE) AS total_cost_usd, count(*) AS execution_count, {r('coalesce(CAST(sum(nullif(ms, 0)) AS DOUBLE) / count(nullif(ms, 0)), 0)', 4)} AS avg_duration_ms FROM p GROUP BY 1""")
+def query_costs_of_warehouse(spark, sf_dir):
+    usage, history = attribution.within(A.usage_from_lineitem(spark, sf_dir), A.history_from_orders(spark, sf_dir), "1", HISTORY_AS_OF, 3650)
+    return attribution.query_costs(usage, history, A.list_prices(spark))
 
 
 @registered(f"{with_views('runs')} SELECT job_id, run_id, start_time, end_time, TRY_CAST(dbu_total AS DOUBLE) AS dbu_total, TRY_CAST(cost_usd AS DOUBLE) AS cost_usd FROM runs WHERE start_time >= TIMESTAMP '2024-01-01' AND TRY_CAST(dbu_total AS DOUBLE) IS NOT NULL AND TRY_CAST(cost_usd AS DOUBLE) IS NOT NULL")

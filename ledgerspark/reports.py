@@ -4,37 +4,48 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def cells(df: DataFrame, limit: int = 1_000) -> tuple[list[str], list[list[str]]]:
-    """Header and rows as text; a report shows at most limit rows."""
-    return df.columns, [["" if v is None else str(v) for v in row] for row in df.limit(limit).collect()]
+def cells(df: DataFrame, limit: int | None = None) -> tuple[list[str], list[list[str]]]:
+    """Header and rows as text: all rows or, if the caller sets a limit, that many and a row that says how many are left
+    out."""
+    shown = df if limit is None else df.limit(limit)
+    rows = [["" if v is None else str(v) for v in row] for row in shown.toLocalIterator()]
+    if limit is not None and len(rows) == limit and (more := df.count() - limit) > 0:
+        rows.append([f"... {more} more rows", *[""] * (len(df.columns) - 1)])
+    return df.columns, rows
 
 
-def markdown(df: DataFrame) -> str:
-    head, rows = cells(df)
+def markdown(df: DataFrame, limit: int | None = None) -> str:
+    head, rows = cells(df, limit)
     line = lambda x: "| " + " | ".join(v.replace("|", "\\|") for v in x) + " |"
     return "\n".join([line(head), line(["---"] * len(head)), *map(line, rows)])
 
 
-def html_table(df: DataFrame) -> str:
-    head, rows = cells(df)
+def html_table(df: DataFrame, limit: int | None = None) -> str:
+    head, rows = cells(df, limit)
     row = lambda tag, x: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in x) + "</tr>"
     return "<table>" + row("th", head) + "".join(row("td", x) for x in rows) + "</table>"
 
 
-def terminal(df: DataFrame) -> str:
-    head, rows = cells(df)
+def terminal(df: DataFrame, limit: int | None = None) -> str:
+    head, rows = cells(df, limit)
     width = [max(map(len, c)) for c in zip(head, *rows, strict=True)]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(x, width, strict=True)).rstrip() for x in [head, ["-" * w for w in width], *rows])
 
 
-def json_lines(df: DataFrame) -> list[str]:
-    return [r[0] for r in df.select(F.to_json(F.struct("*"))).limit(1_000).collect()]
+def json_lines(df: DataFrame) -> Iterator[str]:
+    """Every row as a line of JSON, one partition at a time."""
+    return (r[0] for r in df.select(F.to_json(F.struct("*"))).toLocalIterator())
+
+
+def write_json_lines(df: DataFrame, folder: str) -> None:
+    """Every row as a line of JSON, written by the executors."""
+    df.write.mode("overwrite").json(folder)
 
 
 def job_bundle(name: str, config: dict) -> str:
@@ -43,12 +54,17 @@ def job_bundle(name: str, config: dict) -> str:
     return "\n".join(lines + [f"            {k}: {json.dumps(v)}" for k, v in config.items() if v is not None]) + "\n"
 
 
-def watch_message(report: DataFrame, title: str = "Cost watch") -> str:
-    """Text of a watch report: drifts, idle clusters, and the total unless it is 0."""
-    rows = sorted((r["monitor"], r["key"], r["value"]) for r in report.where("monitor <> 'tag'").collect())
+def watch_message(report: DataFrame, title: str = "Cost watch", most: int = 50) -> str:
+    """Text of a watch report: the most largest drifts and idle clusters of each kind, with the number of those left
+    out, and the total unless it is 0."""
+    size = F.row_number().over(Window.partitionBy("monitor").orderBy(F.desc(F.abs("value")), "key"))
+    shown = report.where("monitor <> 'tag'").withColumn("_r", size).where(F.col("_r") <= most)
+    rows = sorted((r["monitor"], r["key"], r["value"]) for r in shown.collect())
+    counts = {r["monitor"]: r["count"] for r in report.groupBy("monitor").count().collect()}
+    rest = lambda kind: [f"and {counts[kind] - most} more {kind}"] if counts.get(kind, 0) > most else []
     out = [title]
-    out += [f"drift {k}: {v:+.1%}" for m, k, v in rows if m == "drift"]
-    out += [f"idle {k}: ${v:,.2f} wasted" for m, k, v in rows if m == "idle"]
+    out += [f"drift {k}: {v:+.1%}" for m, k, v in rows if m == "drift"] + rest("drift")
+    out += [f"idle {k}: ${v:,.2f} wasted" for m, k, v in rows if m == "idle"] + rest("idle")
     out += [f"total ${v:,.2f}" for m, _, v in rows if m == "total" and v]
     return "\n".join(out)
 

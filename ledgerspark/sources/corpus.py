@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cells import file_format
+from ..plans.rules import glob_regex
 
 _NOTEBOOK = "cells array<struct<cell_type: string, source: string>>, metadata struct<kernelspec: struct<language: string, name: string>>"
 
@@ -18,7 +19,7 @@ def source_files(spark: SparkSession, root: str, recursive: bool = True, exclude
     read = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{py,sql,dbsql}")
     files = read.text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     for glob in exclude:
-        files = files.where(~F.col("path").rlike(glob.replace(".", r"\.").replace("*", ".*")))
+        files = files.where(~F.col("path").rlike(glob_regex(glob)))
     return files.select("path", file_format(F.col("path")).alias("language"), "content")
 
 

@@ -19,6 +19,7 @@ class TableRegistry:
     compute_node_timeline: str = "system.compute.node_timeline"
     lakeflow_job_run_timeline: str = "system.lakeflow.job_run_timeline"
     lakeflow_jobs: str = "system.lakeflow.jobs"
+    predictive_optimization: str = "system.storage.predictive_optimization_operations_history"
     lakeflow_pipeline_event_log: str = "system.lakeflow.pipeline_event_log"
     #: Per field: {our column: column of the overriding table}.
     column_overrides: dict[str, dict[str, str]] = field(default_factory=dict)

@@ -3,6 +3,7 @@
 import pytest
 
 import ledgerspark.plan_queries  # noqa: F401
+import ledgerspark.source_queries  # noqa: F401
 from ledgerspark.queries import ORACLE_SQL, QUERIES
 
 from .oracle import compare
