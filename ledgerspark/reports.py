@@ -38,7 +38,12 @@ def terminal(df: DataFrame, limit: int | None = None) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(x, width, strict=True)).rstrip() for x in [head, ["-" * w for w in width], *rows])
 
 
-def json_lines(df: DataFrame) -> Iterator[str]:
+def json_lines(df: DataFrame) -> list[str]:
+    """Every row as a line of JSON."""
+    return list(json_line_stream(df))
+
+
+def json_line_stream(df: DataFrame) -> Iterator[str]:
     """Every row as a line of JSON, one partition at a time."""
     return (r[0] for r in df.select(F.to_json(F.struct("*"))).toLocalIterator())
 
