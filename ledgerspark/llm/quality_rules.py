@@ -34,6 +34,10 @@ def n_dup_lines(text: Column) -> Column:
     return F.aggregate(F.array(lines), F.lit(0), lambda acc, x: acc + F.size(x) - F.size(F.array_distinct(x)))
 
 
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(text, "\n", -1))
+
+
 def n_repeat_words(ws: Column) -> Column:
     """Words covered by 3-word windows that the text holds at least twice.
 
@@ -68,18 +72,21 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
+    """rejects judges a text and its words, counted the counts that quality_report has made of them."""
+
     name: str
     rejects: Callable[[], Column]
+    counted: Callable[[], Column]
 
 
 def default_rules(text: str = "_text", ws: str = "_words") -> list[Rule]:
     t, w = F.col(text), F.col(ws)
     return [
-        Rule("few_words", lambda: F.size(w) < 50),
-        Rule("many_symbols", lambda: 5 * n_symbols(t) > F.size(w)),
-        Rule("odd_word_length", lambda: (word_chars(t) < 2 * F.size(w)) | (word_chars(t) > 15 * F.size(w))),
-        Rule("repeated_lines", lambda: 2 * n_dup_lines(t) > F.size(F.split(t, "\n", -1))),
-        Rule("repeated_words", lambda: 2 * n_repeat_words(w) > F.size(w)),
+        Rule("few_words", lambda: F.size(w) < 50, lambda: F.col("n_words") < 50),
+        Rule("many_symbols", lambda: 5 * n_symbols(t) > F.size(w), lambda: 5 * F.col("n_symbols") > F.col("n_words")),
+        Rule("odd_word_length", lambda: (word_chars(t) < 2 * F.size(w)) | (word_chars(t) > 15 * F.size(w)), lambda: ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words"))),
+        Rule("repeated_lines", lambda: 2 * n_dup_lines(t) > n_lines(t), lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
+        Rule("repeated_words", lambda: 2 * n_repeat_words(w) > F.size(w), lambda: 2 * F.col("n_repeat_words") > F.col("n_words")),
     ]
 
 
@@ -89,26 +96,42 @@ class QualityCascade:
     report: list[tuple[str, float, float]] = field(default_factory=list)
 
     def fit(self, docs: DataFrame, text: str = "text") -> QualityCascade:
-        """Orders the rules.  report: name, seconds and share rejected on the sample, in the new order."""
+        """Orders the rules.  report, in the new order: name, seconds beyond those of an idle pass over the sample, and
+        the share rejected of the sample's rows that the rules before let through."""
         # a row count costs a look at the files' footers; sample() needs no shuffle where limit() gathers rows of every task
         share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
         sample = _prepared(docs.sample(share, seed=1), text).select("_text", "_words").cache()
-        total = max(sample.count(), 1)
-        for r in self.rules:
+        sample.count()
+
+        def seconds(condition: Column) -> float:
             began = time.perf_counter()
-            hit = sample.where(r.rejects()).count()
-            self.report.append((r.name, time.perf_counter() - began, hit / total))
+            sample.where(condition).count()
+            return time.perf_counter() - began
+
+        idle = min(seconds(F.size("_words") >= 0) for _ in range(2))
+        cost = {r.name: max(1e-4, seconds(r.rejects()) - idle) for r in self.rules}
+        # a row for each set of rules that reject alike
+        verdicts = [F.coalesce(r.rejects(), F.lit(False)).alias(r.name) for r in self.rules]
+        left = [r.asDict() for r in sample.select(*verdicts).groupBy(*[r.name for r in self.rules]).count().collect()]
         sample.unpersist()
-        order = {n: -share / max(s, 1e-4) for n, s, share in self.report}
-        self.report.sort(key=lambda x: order[x[0]])
-        self.rules = sorted(self.rules, key=lambda r: order[r.name])
+        self.report, todo = [], {r.name: r for r in self.rules}
+        while todo:  # each next rule by what it rejects of the rows that the ones before let through
+            rows = max(1, sum(x["count"] for x in left))
+            share = {n: sum(x["count"] for x in left if x[n]) / rows for n in todo}
+            best = max(todo, key=lambda n: share[n] / cost[n])
+            self.report.append((best, cost[best], share[best]))
+            left = [x for x in left if not x[best]]
+            del todo[best]
+        by_name = {r.name: r for r in self.rules}
+        self.rules = [by_name[n] for n, _, _ in self.report]
         return self
 
-    def rejected_by(self) -> Column:
-        """Name of the first rule in the cascade's order that rejects; CASE evaluates no branch behind it."""
+    def rejected_by(self, counted: bool = False) -> Column:
+        """Name of the first rule in the cascade's order that rejects; CASE evaluates no branch behind it.  counted: from
+        the columns that quality_report has made."""
         case = F
         for r in self.rules:
-            case = case.when(r.rejects(), r.name)
+            case = case.when(r.counted() if counted else r.rejects(), r.name)
         return case.otherwise(F.lit(None).cast("string"))
 
     def apply(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -122,9 +145,10 @@ def _prepared(docs: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFra
 
 
 def quality_report(docs: DataFrame, cascade: QualityCascade) -> DataFrame:
-    """doc_id, the counts, base_failed and kept; one row per input row, repeated rows each on their own."""
-    rows = cascade.apply(docs)
+    """doc_id, the counts, base_failed and kept; one row per input row, repeated rows each on their own.  As every count
+    is a result, each is made once and the cascade judges from the counts; it is apply() that skips dear rules."""
+    rows = _prepared(docs, "text", ("doc_id",))
     n = F.size("_words")
-    stats = rows.select("doc_id", n.cast("long").alias("n_words"), word_chars(F.col("_text")).cast("long").alias("word_chars"), n_symbols(F.col("_text")).cast("long").alias("n_symbols"), n_dup_lines(F.col("_text")).cast("long").alias("n_dup_lines"), n_repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"), "rejected_by")
+    stats = rows.select("doc_id", n.cast("long").alias("n_words"), word_chars(F.col("_text")).cast("long").alias("word_chars"), n_symbols(F.col("_text")).cast("long").alias("n_symbols"), n_dup_lines(F.col("_text")).cast("long").alias("n_dup_lines"), n_repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"), n_lines(F.col("_text")).alias("n_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & cascade.rejected_by(counted=True).isNull()).alias("kept"))
