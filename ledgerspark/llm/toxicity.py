@@ -27,6 +27,8 @@ from .common import held_out
 TRAIN_ROWS, TRAIN_CHARS = {1: 1_500, 0: 4_500}, 20_000
 SLOTS = 1 << 18
 REMEMBERED = 200_000
+#: Padded words in a batch of texts.
+CELLS = 1 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -50,6 +52,18 @@ def chain(e: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return f, g
 
 
+def _batches(order: list[int], emits: list[np.ndarray], size: int) -> Iterator[list[int]]:
+    """order, by ascending length, in parts of at most size texts and, but for a single text, CELLS padded cells."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) == size or (len(part) + 1) * len(emits[i]) > CELLS):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def marginals(emits: list[np.ndarray], trans: np.ndarray, neighbours: np.ndarray | None = None, size: int = 256) -> list[np.ndarray]:
     """P(toxic) of each word of each text; neighbours, if given, gets the expected numbers of neighbouring states.
 
@@ -58,8 +72,7 @@ def marginals(emits: list[np.ndarray], trans: np.ndarray, neighbours: np.ndarray
     table = np.exp(trans)
     out: list[np.ndarray] = [np.zeros(0)] * len(emits)
     order = sorted((i for i in range(len(emits)) if len(emits[i])), key=lambda i: len(emits[i]))
-    for k in range(0, len(order), size):
-        part = order[k : k + size]
+    for part in _batches(order, emits, size):
         longest = len(emits[part[-1]])
         e = np.zeros((longest, len(part)))
         for c, i in enumerate(part):
