@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import ensure_folder
+
 #: The characters that separate words: space, and tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,18 +26,10 @@ ADAPTIVE = "spark.sql.adaptive.enabled"
 
 def durable(df: DataFrame, dealt: bool = False) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint, in the folder that the cluster names in
-    spark.checkpoint.dir.  That folder must be shared, so without one this raises, unless Spark runs in one process.
-    What the checkpoint shuffled is freed with it.  dealt: later plans know how df's last repartition dealt its rows,
+    spark.checkpoint.dir (see ensure_folder).  What the checkpoint shuffled is freed with it.  dealt: later plans know how df's last repartition dealt its rows,
     and needn't deal them anew."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[[^,]*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+    ensure_folder(spark)
     with _settings(spark, {FREE: "true"} | ({ADAPTIVE: "false"} if dealt else {})):
         return df.select("*").checkpoint()
 

@@ -160,14 +160,16 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int | None = None) -> DataFrame:
     """doc_id, text, y: at most rows labelled rows that are not held out, in the order of a hash of their id.  Ids
-    that are null, or labelled both ways, teach nothing; of documents with the same id each row is taken."""
+    that are null, or labelled both ways, teach nothing; of documents with the same id one is taken, by a hash of its
+    text."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_most")).where(F.col("y") == F.col("_most"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "y")
     texts = docs.select("doc_id", "text")
     if max_chars:
         texts = texts.where(F.length("text") <= max_chars)
     # at most `rows` small rows: a proven bound for the broadcast
-    return texts.join(F.broadcast(chosen), "doc_id")
+    taken = texts.join(F.broadcast(chosen), "doc_id")
+    return taken.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> AdditiveModel:
