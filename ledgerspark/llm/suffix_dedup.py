@@ -42,6 +42,8 @@ CHUNK, MEETING = 4 << 20, 300
 _A, _B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407], dtype=np.uint64)
 MOST = (1 << 15) - 1
+#: Positions that are hashed at a time.
+SLICE = 1 << 15
 
 
 def _hash(parts: list[np.ndarray], seed: np.uint64) -> np.ndarray:
@@ -65,6 +67,16 @@ def _bytes_at(data: bytes, at: np.ndarray, size: int) -> list[np.ndarray]:
     return [words[at + k] for k in (*range(0, size - 8, 8), size - 8)]
 
 
+def _hashes_at(data: bytes, at: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two hashes of the size bytes from each position, made a slice of positions at a time."""
+    out = [np.empty(len(at), dtype=np.uint64) for _ in _SEEDS]
+    for k in range(0, len(at), SLICE):
+        parts = _bytes_at(data, at[k : k + SLICE], size)
+        for made, seed in zip(out, _SEEDS, strict=True):
+            made[k : k + SLICE] = _hash(parts, seed)
+    return out
+
+
 def _squeeze(values: np.ndarray) -> bytes:
     """Integers by planes of their bytes."""
     import zstandard
@@ -184,8 +196,7 @@ class Chunk:
         self.begun = np.append(0, np.cumsum(count))
         self.of = np.repeat(np.arange(len(at)), count)
         self.at = np.concatenate(at)
-        parts = _bytes_at(self.raw, self.at + self.begin[self.of], GRAM)
-        self.name = [_hash(parts, seed) for seed in _SEEDS]
+        self.name = _hashes_at(self.raw, self.at + self.begin[self.of], GRAM)
         return Entries(self.name[0] >> np.uint64(64 - self.bits), None, self.rank[self.of], self.bits), None
 
     def units(self) -> tuple[Entries, bytes]:
@@ -223,9 +234,13 @@ class Chunk:
         return np.maximum(at - PERIOD + 1, 0), np.minimum(at, self.size[of] - LENGTH)
 
     def _within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether each byte of the chunk is in any [low, high)."""
-        n = len(self.raw) + 1
-        return np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n))[:-1] > 0
+        """Whether each byte of the chunk is in any [low, high).  Neither low nor high descends."""
+        edge = np.zeros(len(self.raw) + 1, dtype=np.int8)
+        if len(low):
+            apart = np.flatnonzero(low[1:] > high[:-1])
+            edge[low[np.append(0, apart + 1)]] = 1
+            edge[high[np.append(apart, len(low) - 1)]] = -1
+        return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
 
     def strings(self) -> tuple[Entries, bytes]:
         """Step 3: strings of units that come first while their names have other units too."""
@@ -242,11 +257,7 @@ class Chunk:
         at = np.flatnonzero(self._within(low[open_], high[open_] + 1))
         known = self._within(low[open_ & ~leads], high[open_ & ~leads] + 1)[at]
         rank = self.rank[np.searchsorted(self.begin, at, side="right") - 1]
-        if len(at):
-            parts = _bytes_at(self.raw, at, LENGTH)
-            one, two = (_hash(parts, seed) for seed in _SEEDS)
-        else:
-            one = two = np.zeros(0, dtype=np.uint64)
+        one, two = _hashes_at(self.raw, at, LENGTH)
         strings = Entries(one, (two >> np.uint64(32)).astype(np.uint32), rank)
         local = rank == strings.first[strings.at]
         return strings, _noted(start=at, entry=strings.at, flags=(known + 2 * local).astype(np.uint8), gone=np.packbits(gone))
