@@ -18,6 +18,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Pieces and token pairs remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
 #: don't change.
 REMEMBERED, PAIRS = 600_000, 1_000_000
@@ -168,6 +170,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             arrays = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids_of, pa.string())] * with_ids, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids
     return narrow.mapInArrow(run, schema)

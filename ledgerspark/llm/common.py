@@ -53,6 +53,18 @@ def fresh(df: DataFrame) -> DataFrame:
     return DataFrame(df.sparkSession._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), df.sparkSession)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on, the session's Arrow batches hold at most BATCH bytes or one row, as both the executor and its Python
+    worker keep a batch whole.  A smaller setting stays.  Plans read it when they run, so it isn't set back."""
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

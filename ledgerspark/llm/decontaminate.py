@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 Q, SEGMENT, EDIT_RATE = 12, 80, 0.06
 #: Bands are twice this wide and overlap by half; it is at least the largest edit budget.
 BAND = 16
@@ -182,6 +184,7 @@ class Matcher:
 
 def matchers(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Matcher]:
     """One matcher for each block of items; none for a benchmark without texts.  Only a block is ever on the driver."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     blocks = -(-total // block_bytes)

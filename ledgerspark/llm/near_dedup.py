@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable
 from .components import least_labels
 
 #: Least and most values of a sketch; a class has as many as it retains, within these.
@@ -370,6 +370,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     One row per input row.  Null and empty texts, and texts of white space, have an empty set and are linked with
     nothing.  A null id takes no part: its component is null and it is kept.  Rows that share an id are one node, also
     where their texts differ.  Other columns are not read."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     every = durable(sketches(docs, width, percent))
     known = every.where(F.col("sid").isNotNull() & F.col("doc_id").isNotNull())

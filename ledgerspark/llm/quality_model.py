@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_batches, held_out
 
 TRAIN_ROWS = 12_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -173,6 +173,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> AdditiveModel:
+    bounded_batches(docs.sparkSession)
     features = F.pandas_udf(lambda t: pd.Series(list(feature_matrix(t))), "array<float>")
     rows = labelled_sample(docs, labels, label, TRAIN_ROWS).select("y", features("text").alias("x"), F.xxhash64("doc_id", "text").alias("o")).toPandas().sort_values("o")
     x = np.array(rows["x"].tolist(), dtype=np.float32).reshape(len(rows), len(FEATURES))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import bounded_batches, durable
 
 LENGTH = 50
 #: A perfect difference set, every remainder but 0 is the difference of one pair.
@@ -348,6 +348,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A null text counts as empty.  A row with a null id is neither searched nor a source and stays as it is; rows that
     share an id are no sources for each other, and each is judged on its own text.  Equality is by 96 bits of hashes
     (see above).  A text is held whole by one task, with some 20 bytes a byte of it."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     searched = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
     total = rows.where(searched).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import bounded_batches, held_out
 
 TRAIN_ROWS, TRAIN_CHARS = {1: 1_500, 0: 4_500}, 20_000
 SLOTS = 1 << 18
@@ -208,6 +208,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start:end of offending words in code points, comma-joined).
 
     One row per input row.  A null or empty text has no word and gets the head's score of no evidence."""
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
