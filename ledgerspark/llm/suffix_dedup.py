@@ -387,7 +387,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return pd.DataFrame(out, columns=COLUMNS + ["kept"] * with_text)
 
     def answered(requests: DataFrame) -> DataFrame:
-        return durable(requests.groupBy("range").applyInPandas(answer, SAID))
+        return durable(requests.groupBy("range").applyInPandas(answer, SAID).coalesce(min(parts, ranges)))
 
     # every step works from the chunks and the last answers
     said = answered(chunks.mapInPandas(name, ASKED))
