@@ -12,6 +12,7 @@ are remembered in a bounded table.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Pieces and token pairs remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
+#: Pieces, and token pairs and steps between states, remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
 #: don't change.
 REMEMBERED, PAIRS = 600_000, 1_000_000
 #: A piece of more bytes is encoded but not remembered.
@@ -47,40 +48,43 @@ class PrefixTable:
     """The tokens that end each prefix of a growing, editable byte string."""
 
     def __init__(self, bpe: PrefixBpe, data: bytes = b"") -> None:
-        self.bpe, self.data, self.last = bpe, bytearray(), [b""]
+        self.bpe, self.data, self.last, self.states = bpe, bytearray(), [0], [0]
         self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
         self.data += more
-        data, last, bpe = bytes(self.data), self.last, self.bpe
-        ranks, upto, known, most = bpe.ranks, bpe.upto, bpe.valid, len(bpe.upto) - 1
-        for end in range(len(last), len(data) + 1):
-            for n in upto[end if end < most else most]:
-                t = data[end - n : end]
-                if t in ranks:
-                    before = last[end - n]
-                    if n == end:
-                        break
-                    if (ok := known.get((before, t))) is None:
-                        ok = bpe.joins(before, t)
-                    if ok:
-                        break
+        last, states, bpe = self.last, self.states, self.bpe
+        step, ends, known, bits = bpe.steps.get, bpe.ends, bpe.valid.get, bpe.bits
+        state = states[-1]
+        for end, byte in enumerate(more, len(last)):
+            if (then := step(state << 8 | byte)) is None:
+                then = bpe.advance(state, byte)
+            state = then
+            for rank, n in ends[state]:
+                if n == end:
+                    break
+                before = last[end - n]
+                if (ok := known(before << bits | rank)) is None:
+                    ok = bpe.joins(before, rank)
+                if ok:
+                    break
             else:
-                raise ValueError(f"byte {data[end - 1]} is in no token")
-            last.append(t)
+                raise ValueError(f"byte {byte} is in no token")
+            last.append(rank)
+            states.append(state)
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> PrefixTable:
         """Puts new in place of data[start:end].  The table's first start + 1 entries stay."""
         tail = bytes(self.data[end:])
-        del self.data[start:], self.last[start + 1 :]
+        del self.data[start:], self.last[start + 1 :], self.states[start + 1 :]
         return self.append(new + tail)
 
     def ids(self, end: int | None = None) -> list[int]:
-        at, out = len(self.data) if end is None else end, []
+        at, out, last, bytes_of = len(self.data) if end is None else end, [], self.last, self.bpe.bytes_of
         while at:
-            out.append(self.bpe.ranks[self.last[at]])
-            at -= len(self.last[at])
+            out.append(rank := last[at])
+            at -= len(bytes_of[rank])
         return out[::-1]
 
 
@@ -89,18 +93,34 @@ class PrefixBpe:
         import regex
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        lengths = sorted({len(t) for t in ranks}, reverse=True)
-        #: Token lengths of at most i bytes, longest first.
-        self.upto = [[n for n in lengths if n <= i] for i in range(max(lengths, default=0) + 1)]
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.valid: dict[tuple[bytes, bytes], bool] = {}
+        self.bits = max(self.bytes_of, default=0).bit_length()
+        #: A state is the longest end of what was read that starts a token; state 0 is the empty one.
+        self.starts = [b"", *{t[:i] for t in ranks for i in range(1, len(t) + 1)}]
+        self.state_of = {s: i for i, s in enumerate(self.starts)}
+        #: By state, the tokens that end it (rank, bytes), longest first; known of states that were reached.
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.starts)
+        self.steps: dict[int, int] = {}
+        self.valid: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, bytes]] = {}
 
-    def joins(self, a: bytes, b: bytes) -> bool:
-        """Whether a and b stay two tokens: no step of plain BPE on their joined bytes crosses between them."""
+    def advance(self, state: int, byte: int) -> int:
+        """The state behind state and byte."""
+        if len(self.steps) >= PAIRS:
+            self.steps.clear()
+        end = self.starts[state] + bytes([byte])
+        while end not in self.state_of:
+            end = end[1:]
+        then = self.steps[state << 8 | byte] = self.state_of[end]
+        if not self.ends[then]:
+            self.ends[then] = tuple((self.ranks[end[i:]], len(end) - i) for i in range(len(end)) if end[i:] in self.ranks)
+        return then
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether tokens a and b stay two tokens: no step of plain BPE on their joined bytes crosses between them."""
         if len(self.valid) >= PAIRS:
             self.valid.clear()
-        found = self.valid[a, b] = self._apart(a, b)
+        found = self.valid[a << self.bits | b] = self._apart(self.bytes_of[a], self.bytes_of[b])
         return found
 
     def _apart(self, a: bytes, b: bytes) -> bool:
@@ -148,6 +168,12 @@ class PrefixBpe:
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(path: str, pattern: str) -> PrefixBpe:
+    """A worker's encoder: later tasks find its vocabulary, steps and token pairs.  Pieces are each task's own."""
+    return PrefixBpe(read_ranks(path), pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """keep, n_tokens, ids_sha256, decoded_sha256 and, with_ids, ids (decimals joined by one space); a row per row.
 
@@ -157,7 +183,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = PrefixBpe(read_ranks(path), pattern)  # a task's own: its tables go with it
+        bpe = loaded(path, pattern)
+        bpe.known.clear()
         for batch in batches:
             n, ids_of, ids_sha, decoded_sha = [], [], [], []
             for t in batch.column(len(keep)):
@@ -169,6 +196,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                     ids_of.append(ids)
             arrays = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids_of, pa.string())] * with_ids, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        bpe.known.clear()
 
     bounded_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("_text"))
