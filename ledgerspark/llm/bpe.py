@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release
 
 #: Pieces, and token pairs and steps between states, remembered by a worker.  Beyond that its table starts afresh: memory stays bounded, results
 #: don't change.
@@ -102,7 +102,8 @@ class PrefixBpe:
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.starts)
         self.steps: dict[int, int] = {}
         self.valid: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.bytes_of_text = {str(r): t for r, t in self.bytes_of.items()}
 
     def advance(self, state: int, byte: int) -> int:
         """The state behind state and byte."""
@@ -152,20 +153,20 @@ class PrefixBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _learn(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.piece(piece)
-        entry = len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def _learn(self, piece: str) -> str:
+        ids = " ".join(map(str, self.piece(piece)))
         if len(piece) <= LONG_PIECE:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            self.known[piece] = entry
-        return entry
+            self.known[piece] = ids
+        return ids
 
     def digest(self, text: str) -> tuple[int, str, bytes]:
         """Number of ids, their decimals joined by a space, and the bytes that they decode to."""
         known, learn = self.known.get, self._learn
-        parts = [known(p) or learn(p) for p in self.pattern.findall(text)]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
+        ids = " ".join([known(p) or learn(p) for p in self.pattern.findall(text)])
+        each = ids.split()
+        return len(each), ids, b"".join(map(self.bytes_of_text.__getitem__, each))
 
 
 @functools.lru_cache(maxsize=1)
@@ -186,6 +187,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         bpe = loaded(path, pattern)
         bpe.known.clear()
         for batch in batches:
+            release()
             n, ids_of, ids_sha, decoded_sha = [], [], [], []
             for t in batch.column(len(keep)):
                 count, ids, decoded = bpe.digest(t.as_py() or "")
@@ -197,6 +199,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
             arrays = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids_of, pa.string())] * with_ids, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
         bpe.known.clear()
+        release()
 
     bounded_batches(docs.sparkSession)
     narrow = docs.select(*keep, F.col(text).alias("_text"))

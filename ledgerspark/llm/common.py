@@ -65,6 +65,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH))
 
 
+def release() -> None:
+    """Gives back what the Arrow pool of a Python worker holds unused.  Workers outlive their tasks, and so does the pool."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

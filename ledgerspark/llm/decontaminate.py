@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release
 
 Q, SEGMENT, EDIT_RATE = 12, 80, 0.06
 #: Bands are twice this wide and overlap by half; it is at least the largest edit budget.
@@ -212,6 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
             m = shared.value
             total = [i.segments for i in m.items]
             for pdf in batches:
+                release()
                 hits = [(d, *hit) for d, found in zip(pdf["doc_id"], m.find(pdf["text"].tolist()), strict=True) for hit in found]
                 yield pd.DataFrame({"doc_id": [h[0] for h in hits], "item_id": [m.ids[h[1]] for h in hits], "start": [h[2] for h in hits], "end": [h[3] for h in hits], "n_segments": [h[4] for h in hits], "segments": [total[h[1]] for h in hits]})
 
@@ -221,8 +222,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_B
 
 def is_leaked(benchmark: DataFrame, text: Column) -> Column:
     """Whether a text holds a segment of any item."""
+
+    def holder(shared):
+        def holds(texts: pd.Series) -> pd.Series:
+            release()
+            return pd.Series([bool(x) for x in shared.value.find(texts.tolist())], dtype=bool)
+
+        return F.pandas_udf(holds, "boolean")
+
     flag = F.lit(False)
     for m in matchers(benchmark):
-        shared = benchmark.sparkSession.sparkContext.broadcast(m)
-        flag = flag | F.pandas_udf(lambda t, shared=shared: pd.Series([bool(x) for x in shared.value.find(t.tolist())], dtype=bool), "boolean")(text)
+        flag = flag | holder(benchmark.sparkSession.sparkContext.broadcast(m))(text)
     return flag

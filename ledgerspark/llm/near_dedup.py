@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, durable
+from .common import bounded_batches, durable, release
 from .components import least_labels
 
 #: Least and most values of a sketch; a class has as many as it retains, within these.
@@ -165,6 +165,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         known = WordHashes()
         for batch in batches:
+            release()
             n, sid, least = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), width, known)
@@ -173,6 +174,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     sid.append(f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(np.bitwise_xor.reduce(_mix(s * _B))):x}" if len(s) else None)
                 least.append(_pack(s[: max(K_LEAST, prefix(len(s), percent) + spare(len(s), percent))]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.string()), pa.array(least, pa.binary())], names=["doc_id", "n", "sid", "least"])
+        release()
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, sid string, least binary")
@@ -232,6 +234,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """a, s: the sets of the documents in ids (a), made again from their texts."""
 
     def whole(texts: pd.Series) -> pd.Series:
+        release()
         known = WordHashes()
         return pd.Series([shingle_set(t, width, known).view(np.int64) for t in texts])
 
