@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -312,6 +313,31 @@ def test_repeats_of_one_id_on_many_rows(spark, monkeypatch):
     assert got == collections.Counter(want)
 
 
+def test_repeats_are_equal_to_the_last_byte(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh ", k=49)) for _ in range(40)]
+    # the first byte of each of these is the letter's with its top bit set
+    rows = [(2 * k, f"{t}{'CbBdp'[k % 5]}{k:07}") for k, t in enumerate(texts)] + [(2 * k + 101, f"#{t}{'é—§中😀'[k % 5]}{k:07}") for k, t in enumerate(texts)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed(rows)
+    assert not any(r["n_removed"] for r in got)
+    for size in (30, 50):
+        data = bytes(rng.choices(range(128), k=size))
+        changed = [data] + [data[:k] + bytes([data[k] ^ 1 << b]) + data[k + 1 :] for k in range(size) for b in range(8)]
+        hashes = suffix_dedup._hashes_at(b"".join(changed), size * np.arange(len(changed)), size)
+        assert all(len(set(h.tolist())) == len(changed) for h in hashes)
+
+
+def test_repeats_keep_large_ids_and_any_bytes(spark):
+    rows = [(None, b"a"), (2**53 + 1, b"b"), (2**53 + 3, None), (None, None), (-3, b"\xff" + b"q" * 60), (-2, b"ab" + b"q" * 60 + b"\x80"), (-1, b"\x80")]
+    docs = spark.createDataFrame([(i, t and bytearray(t)) for i, t in rows], "doc_id long, text binary").withColumn("text", F.col("text").cast("string"))
+    want = {(i, len(t or b""), hashlib.sha256(b"ab\x80" if i == -2 else t or b"").hexdigest()) for i, t in rows}
+    for with_text in (False, True):
+        got = suffix_dedup.remove_repeats(docs, with_text).collect()
+        assert {(r["doc_id"], r["n_bytes"], r["kept_sha256"]) for r in got} == want and len(got) == len(rows)
+        assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got if with_text)
+
+
 def test_cascade_order_does_not_change_verdicts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     plain = quality_rules.QualityCascade()
