@@ -90,8 +90,11 @@ def compared(scenarios: DataFrame, baseline: str) -> DataFrame:
     return scenarios.join(base, "grp", "left").select("grp", "name", "cost", "confidence", saving.alias("saving"), F.try_divide(saving, F.col("_base")).alias("saving_pct"), (F.col("confidence") >= 1).alias("verified"))
 
 
-def best_scenario(scenarios: DataFrame) -> DataFrame:
-    """Of each group's scenarios (grp, name, cost, confidence) the cheapest, then the most trusted; a cost that is null
-    or 0 is unknown and counts as infinite."""
-    cost = F.when(F.coalesce("cost", F.lit(0.0)) == 0, F.lit(float("inf"))).otherwise(F.col("cost"))
-    return scenarios.groupBy("grp").agg(F.min_by("name", F.struct(cost.alias("c"), (-F.col("confidence")).alias("t"), "name")).alias("best"))
+def best_scenario(scenarios: DataFrame, ties: tuple[str, ...] = (), unknown: Column | None = None) -> DataFrame:
+    """Of each group's scenarios (grp, name, cost, confidence) the cheapest, then the most trusted, then the least by the
+    columns ties, then by name; nulls come last, and a scenario without a name only where a group has no other.  An
+    unknown cost counts as infinite: one that is null or 0, or as the caller says."""
+    lost = F.coalesce("cost", F.lit(0.0)) == 0 if unknown is None else unknown
+    order = [F.when(lost, F.lit(float("inf"))).otherwise(F.col("cost")), -F.col("confidence"), *map(F.col, ties), F.col("name")]
+    key = F.struct(F.col("name").isNull(), *[x for o in order for x in (o.isNull(), o)])
+    return scenarios.groupBy("grp").agg(F.min_by("name", key).alias("best"))

@@ -13,9 +13,13 @@ from ledgerspark.operators import costs
 from ledgerspark.operators.attribution import overlap_join
 from ledgerspark.plans import cells, delta_log, explain, graphs, lint, rules
 from ledgerspark.sources import corpus, runtime
+from ledgerspark.plan_queries import best_scenario
+from ledgerspark.queries import ORACLE_SQL
 from ledgerspark.sources.registry import TableRegistry, access_report
 from ledgerspark.streaming.usage import streaming_tag_costs
 
+from .oracle import TABLES, compare
+
 
 def sources(spark, *rows):
     return spark.createDataFrame([(f"f{i}", *r) for i, r in enumerate(rows)], "path string, language string, content string")
@@ -154,6 +158,25 @@ def test_step_failure_is_null(spark):
     assert spark.range(1).select(estimates.step_failure(F.lit(2e9), F.lit(1.0))).first()[0] is None
 
 
+def test_best_scenario_of_ties_and_unknown_values(spark, sf_dir, tmp_path):
+    rows = [
+        *[(1, 3, 17, 1.0, 50.0, 0.1), (1, 7, 9, 1.0, 60.0, 0.1)],  # the part number decides, not the line's
+        *[(2, 1, 100, 5.0, 50.0, 0.1), (2, 2, 20, 5.0, 50.0, 0.1), (2, 3, 3, 5.0, 50.0, 0.0)],
+        *[(3, 1, 1, 5.0, 0.0, 0.1), (3, 2, 2, 5.0, 9.0, 0.1)],
+        *[(4, 1, 1, 5.0, None, 0.1), (4, 2, 2, 1.0, 9.0, 0.1)],
+        *[(5, 1, 1, 5.0, 8.0, None), (5, 2, 2, None, 8.0, 0.0), (5, 3, None, 5.0, 1.0, 0.0)],
+        *[(6, 1, None, 5.0, 8.0, 0.1), (None, None, None, None, None, None), (None, 2, 5, None, None, None)],
+    ]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    lines.withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for t in set(TABLES) - {"lineitem"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf_dir}/{t}.parquet")
+    compare(spark, str(tmp_path), best_scenario, ORACLE_SQL["best_scenario"])
+    scenarios = spark.createDataFrame([(1, "a", 0.0, 1.0), (1, "b", None, 2.0), (1, "c", 9.0, 0.5), (1, "d", 9.0, None), (1, "e", 9.0, 0.5)], "grp int, name string, cost double, confidence double")
+    assert estimates.best_scenario(scenarios).first()["best"] == "c"
+    assert estimates.best_scenario(scenarios.where("name < 'c'")).first()["best"] == "b"
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("drift", "job:1", 0.3), ("idle", "c", 2.0), ("total", "usd", 0.0)], "monitor string, key string, value double")
     assert reports.watch_message(df) == "Cost watch\ndrift job:1: +30.0%\nidle c: $2.00 wasted"
